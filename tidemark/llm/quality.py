@@ -12,6 +12,7 @@ input only the id and the text are read by `judge`; `clean` keeps all columns of
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,16 +29,16 @@ BOILERPLATE = (
 )
 #: Entries of navigation bars, lower case.
 NAVIGATION = frozenset("home menu login logout register search about contact help next previous prev back top share print sitemap faq skip more news blog".split())
-#: Characters that may end a sentence.
-ENDS = tuple(".!?:;…。！？\"'”’»)")
+#: Marks that prose of any length has.
+MARKS = re.compile(r"[.!?:;…。！？]")
 SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Of a line: symbols a word, share of words in capitals, words a navigation cell may have, words a line without a
-    closing mark may have. Of a document: words at least, percent of repeated words and of lost words at most."""
+    """Of a line: symbols a word, share of words in capitals, words a navigation cell may have, words a line without
+    any sentence mark may have. Of a document: words at least, percent of repeated words and of lost words at most."""
 
     symbols_per_word: float = 0.5
     capitals: float = 0.8
@@ -66,7 +67,7 @@ def line_fails(line: str, limits: Limits) -> bool:
         return True
     if n >= 5 and line != low and sum(w.isupper() for w in line.split()) > limits.capitals * n:
         return True
-    return n > limits.open_words and not line.rstrip(_SPACES).endswith(ENDS)
+    return n > limits.open_words and not MARKS.search(line)
 
 
 def repeated_words(words: list) -> int:
