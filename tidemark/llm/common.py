@@ -10,7 +10,9 @@ import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that they need no path of their own to it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        package = Path(__file__).resolve().parents[1]
+        to = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,14 +50,20 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
+        ship(spark)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns it as read again: lineage ends here."""
+        """Writes df and returns it as read again: lineage ends here.
+
+        The JVM is then asked to collect garbage, so that Spark's cleaner removes the shuffle files that only the ended
+        lineage needed; else they would stay on disk until the driver's heap fills up.
+        """
         df.write.mode("overwrite").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -79,6 +104,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 def per_slice(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow that calls work on bounded slices, so memory follows the slice and not the batch."""
 
+    ship(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, column):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import ship, slices
 
 # Fixed value: how a byte-level BPE tokenizer cuts a text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -197,5 +197,6 @@ def pack(docs: DataFrame, *, tokenizer: str, size: int = 1024, end_id: int = 0,
         packer.pack()
         yield from packer.taken()
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(run, _SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, bytes_of, per_slice
+from tidemark.llm.common import Scratch, bytes_of, per_slice, ship
 
 # The two header layouts of the ARC format.
 FIELDS = {
@@ -210,6 +210,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+    ship(spark)
     pieces = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary"))
     return pieces.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
