@@ -103,7 +103,9 @@ class Model:
         self.single = {p for p in self.ids if len(p) == 1}
         self.units = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.strange = re.compile(f"[^{re.escape(''.join(sorted(self.single)))}]")
+        self.sizes = [len(p) for p in self.pieces]
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.text = [b"" if k not in (_NORMAL, _USER, _BYTE) else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
@@ -154,15 +156,19 @@ class Model:
     def _bpe(self, text: str) -> list[int]:
         if text.startswith(SPACE * 2):  # runs of blanks tie in rank
             return self.merged(text)
-        last, follows = [-1] * len(text), self._follows
+        last, known, n = [-1] * len(text), self.pairs.get, len(self.pieces)
         for end, (i, size) in self.automaton.iter(text):
             if last[end] < 0:
                 begin = end - size
                 if begin < 0:
                     if self._begins(i):
                         last[end] = i
-                elif last[begin] >= 0 and follows(last[begin], i):
-                    last[end] = i
+                else:
+                    before = last[begin]
+                    if before >= 0:
+                        good = known(before * n + i)
+                        if good or good is None and self._follows(before, i):
+                            last[end] = i
         return self._back(last, text)
 
     def _unigram(self, text: str) -> list[int]:
@@ -175,14 +181,15 @@ class Model:
         return self._back(last, text)
 
     def _back(self, last: list[int], text: str) -> list[int]:
-        out, end = [], len(text) - 1
+        out, end, sizes = [], len(text) - 1, self.sizes
         while end >= 0:
             i = last[end]
             if i < 0:
                 raise ValueError(f"no piece ends at position {end} of {text[:80]!r}")
             out.append(i)
-            end -= len(self.pieces[i])
-        return out[::-1]
+            end -= sizes[i]
+        out.reverse()
+        return out
 
     # --- texts ---------------------------------------------------------------------------------------------
 
@@ -200,9 +207,14 @@ class Model:
             at = m.end()
         if at < len(unit):
             out += encode(unit[at:])
-        data = np.array(out, "<u4").tobytes()
+        return np.array(out, "<u4").tobytes()
+
+    def _kept(self, unit: str) -> bytes:
+        """A word's ids from the older half of the table, or worked out; short ones go into the newer half."""
+        data = self.older.get(unit) or self._word(unit)
         if len(unit) <= 64:
             if len(self.words) >= WORDS:
+                self.older = dict(self.words)
                 self.words.clear()
             self.words[unit] = data
         return data
@@ -215,7 +227,7 @@ class Model:
         if not text:
             return b""
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known, word = self.words.get, self._word
+        known, word = self.words.get, self._kept
         return b"".join([known(u) or word(u) for u in self.units.findall(text)])
 
     def decode(self, ids: bytes) -> str:
