@@ -13,9 +13,11 @@ Plan, for inputs of any size:
 3. Only candidates' texts are read a second time to get their full sets, written to the shared folder.
 4. Round 0 confirms each candidate against its smallest hub; round 1 against its other hubs, if they are not yet
    connected; round 2 checks whatever members of one bucket are still in different components, so no link between
-   components goes unseen. After rounds 0 and 1 a bucket of near copies is one component and emits nothing.
+   components goes unseen. After rounds 0 and 1 the close copies of a bucket are one component and emit nothing. What
+   is left, mostly edited copies a little too far from the rest, is settled by rare items: similar sets share one in
+   their prefixes, or none at all, and of n items of which r are rare they then share n - r at most.
 
-With 32 bands of 4 values a pair at similarity 0.85 is missed with probability below 1e-10, at 0.8 below 1e-7.
+With 24 bands of 4 values a pair at similarity 0.85 is missed with probability 2e-8, at 0.8 with 3e-6.
 Sets hold 64-bit hashes of shingles.
 
 Defined cases: null or blank text has an empty set and is linked with nothing. A null doc_id is linked with nothing;
@@ -29,11 +31,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, bytes_of, constants, mix, per_slice, shingles, text_column, words
 
+#: Of an item: occurrences among the members of unsettled buckets up to which it is rare.
+RARE = 16
+
 _SIG = "id long, n long, digest binary, bands array<long>, s0 long, s1 long"
 
 
@@ -56,7 +61,7 @@ def _signature(u: np.ndarray, a: np.ndarray, bands: int, rows: int) -> tuple[np.
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """docs(id, data) to one row of _SIG each."""
-    a = constants((bands * rows + 1) // 2, 23)
+    a = constants(max(64, (bands * rows + 1) // 2), 23)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_column(batch.column(1))
@@ -93,6 +98,22 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return per_slice(docs, "data", work, "id long, items binary")
 
 
+def _items(sets: DataFrame) -> DataFrame:
+    """sets(id, items) to (id, item) with items cut to 32 bits: two that collide only look shared by more documents."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_column(batch.column(1))
+            ids, counts = batch.column(0).to_numpy(), np.diff(offsets) // 8
+            item = (np.frombuffer(data.tobytes(), np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for at in range(0, len(item), 1 << 17):
+                part = item[at : at + (1 << 17)]
+                owner = np.searchsorted(offsets // 8, np.arange(at, at + len(part)), "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(part)], ["id", "item"])
+
+    return sets.mapInArrow(run, "id long, item int")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b, u, v) whose full sets have 100 * intersection >= percent * union; returns (u, v)."""
 
@@ -111,7 +132,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -137,7 +158,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels.select("id", "label")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles; component_id is
@@ -150,11 +171,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
 
     first = sig.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "bands", "s0", "s1")).alias("r"))
     reps = scratch.put(first.select("digest", "r.*"), "representatives")
-    rows_ = reps.select("id", F.explode("bands").alias("key"))
-    buckets = rows_.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
-    hits = scratch.put(rows_.join(buckets, "key").select("key", "id", "hub"), "buckets")
+    band_rows = reps.select("id", F.explode("bands").alias("key"))
+    buckets = band_rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
+    hits = scratch.put(band_rows.join(buckets, "key").select("key", "id", "hub"), "buckets")
     nodes = scratch.put(reps.join(hits.select("id").distinct(), "id", "left_semi").select("id", "n", "s0", "s1"), "nodes")
-    sets = scratch.put(full_sets(docs.join(nodes.select("id"), "id", "left_semi"), k), "sets")
+    sets = scratch.put(full_sets(docs.join(nodes.select("id").hint("merge"), "id", "left_semi"), k), "sets")
 
     state = nodes.withColumn("label", F.col("id"))
 
@@ -182,19 +203,40 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     links = hits.filter("id <> hub").select("id", "hub").distinct().alias("h")
     advance(links.join(state.alias("x"), F.col("h.id") == F.col("x.id")).join(state.alias("y"), F.col("h.hub") == F.col("y.id")).filter(close).select(*ends), "1")
 
+    # Round 2. Items of the members of unsettled buckets, rarest first, are in one order. Two sets that are similar enough
+    # share an item within their prefixes of n - ceil(percent * n) + 1 items. If that is a rare one, a join on rare items finds them;
+    # else they share no rare item at all, which bounds what they share.
     members = scratch.put(hits.select("key", "id").join(state, "id"), "members")
-    mixed = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
-    counts = members.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = mixed.join(counts, "key").groupBy("key").agg(F.max(F.struct("c", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
-    main = scratch.put(main, "mixed-buckets")
-    rest = members.join(main, "key").filter("label <> main").drop("main")
-    found = rest.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & close)
-    pair = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.col("x.label").alias("u"), F.col("y.label").alias("v"))
-    advance(pair.groupBy("a", "b").agg(F.min("u").alias("p"), F.max("u").alias("q"), F.min("v").alias("r"), F.max("v").alias("s")).select("a", "b", F.least("p", "r").alias("u"), F.greatest("q", "s").alias("v")), "2")
+    unsettled = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("key")
+    members = scratch.put(members.join(unsettled, "key", "left_semi"), "unsettled")
+    crowd = members.select("id", "n", "s0", "s1", "label").distinct()
+    items = scratch.put(_items(sets.join(crowd.select("id"), "id", "left_semi")), "items")
+    rare = items.groupBy("item").agg(F.count("*").alias("c")).filter(F.col("c") <= RARE)
+    rare = scratch.put(items.join(rare, "item").select("id", "item", "c"), "rare")
+    own = rare.groupBy("id").agg(F.count("*").alias("r"))
+
+    place = F.rank().over(Window.partitionBy("id").orderBy("c", "item"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = rare.withColumn("place", place).join(crowd, "id").filter((F.col("place") <= length) & (F.col("c") > 1))
+    prefix = scratch.put(prefix.select("id", "item", "n", "s0", "s1", "label"), "prefixes")
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.label", "y.label").alias("u"), F.greatest("x.label", "y.label").alias("v"))
+    sharing = prefix.alias("x").join(prefix.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & close).select(*pair)
+
+    common = members.join(own, "id", "left").withColumn("c", F.col("n") - F.coalesce("r", F.lit(0))).filter(100 * F.col("c") >= percent * F.col("n")).drop("r")
+    common = scratch.put(common.join(reps.select("id", "bands"), "id"), "common")
+    counts = common.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
+    main = scratch.put(main, "main-labels")
+    rest = common.join(main, "key").filter("label <> main").drop("main")
+    most = F.least("x.c", "y.c")
+    bound = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # of the buckets that a pair shares, one
+    others = rest.alias("x").join(common.alias("y"), (F.col("x.key") == F.col("y.key")) & close & bound & once).select(*pair)
+    advance(sharing.union(others).distinct(), "2")
 
     classes = reps.select("digest", F.col("id").alias("rep"))
-    own = sig.select("id", "n", "digest").join(classes, "digest", "left")
+    judged = sig.select("id", "n", "digest").join(classes, "digest", "left")
     labels = state.select(F.col("id").alias("rep"), "label")
     component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
-    out = own.join(labels, "rep", "left").select("id", "n", component.alias("component"))
+    out = judged.join(labels, "rep", "left").select("id", "n", component.alias("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
