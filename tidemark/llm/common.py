@@ -6,6 +6,7 @@ longer code point, so working on bytes gives the same words as working on charac
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: few enough that a batch of long texts is small, enough that its cost is spread.
+BATCH = 2000
 _SHIPPED: set[str] = set()
 
 
@@ -34,6 +37,8 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         spark.sparkContext.addPyFile(to)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +106,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         begin = end
 
 
+def trim() -> None:
+    """Hands freed memory back to the system, so that a Python worker kept for later tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
 def per_slice(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow that calls work on bounded slices, so memory follows the slice and not the batch."""
 
@@ -112,6 +130,7 @@ def per_slice(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.Re
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

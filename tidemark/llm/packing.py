@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, slices
+from tidemark.llm.common import ship, slices, trim
 
 # Fixed value: how a byte-level BPE tokenizer cuts a text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,17 +52,15 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.path = path
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         byte = _byte_characters()
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends = np.zeros(max([*spec["model"]["vocab"].values(), *added.values()]) + 1, bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b" ").endswith((b".", b"!", b"?", b"\n")) or b"\n" in token
 
@@ -70,6 +68,10 @@ class Encoder:
         if not text:
             return np.zeros(0, "<u4")
         if _CAREFUL.search(text):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(self.fast._core_bpe.encode_to_tiktoken_buffer(text, set()), "<u4")
 
@@ -196,6 +198,7 @@ def pack(docs: DataFrame, *, tokenizer: str, size: int = 1024, end_id: int = 0,
                 yield from packer.taken()
         packer.pack()
         yield from packer.taken()
+        trim()
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
