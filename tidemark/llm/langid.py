@@ -100,7 +100,7 @@ class Model:
     weights: np.ndarray
     bit_weights: np.ndarray
     temperature: float = 6.0
-    ambiguous: float = 0.05
+    ambiguous: float = 0.02
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows of margins: the nearest language, its score, and whether another is as near."""
