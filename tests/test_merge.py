@@ -85,3 +85,14 @@ def test_audit_range_is_half_open(spark):
     assert rows(audit.history(up, None, PK, window=audit.Range(low=1, high=3)), SEQ) == [(1,), (2,)]
     with pytest.raises(ValueError):
         audit.Range("other")
+
+
+def test_scans_read_what_is_asked_for(spark, sf_dir):
+    from tidemark.plans.registry import queries
+
+    plan = queries()["P5_between"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(o_totalprice,1000.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+    plan = queries()["A1_global"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_quantity:double,l_discount:double>" in plan
+    plan = queries()["O3_top_k_htap"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
