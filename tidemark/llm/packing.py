@@ -37,7 +37,8 @@ from tidemark.llm.common import ship, slices, trim
 # Fixed value: how a byte-level BPE tokenizer cuts a text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts that tiktoken isn't trusted with: beyond Latin letters, with the special token, or with endless blanks.
-_CAREFUL = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>|\s{500}")
+_SPECIAL = "<|endoftext|>"
+_WIDE, _BLANKS = re.compile(r"[^\x00-ɏ]"), re.compile(r"\s{500}")
 
 
 def _byte_characters() -> dict[str, int]:
@@ -67,7 +68,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if _CAREFUL.search(text):
+        if _SPECIAL in text or _BLANKS.search(text) or not text.isascii() and _WIDE.search(text):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -95,7 +96,9 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     gaps = np.diff(points, prepend=0)
     wide = np.flatnonzero(gaps > GRID)
     if len(wide):
-        more = np.concatenate([np.arange(points[k] - gaps[k] + GRID, points[k], GRID) for k in wide])
+        extra = (gaps[wide] - 1) // GRID
+        step = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+        more = np.repeat(points[wide] - gaps[wide], extra) + step * GRID
         points, prices = np.concatenate([points, more]), np.concatenate([prices, np.full(len(more), INSIDE)])
         order = np.argsort(points, kind="stable")
         points, prices = points[order], prices[order]
@@ -104,26 +107,23 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def windows(points: list[int], prices: list[int], size: int) -> list[int]:
     """Cheapest ends of windows that cover (0, points[-1]]; each gap between points is at most `size`."""
-    best, origin = [0], [0]
-    at = [0, *points]
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + p(i), i), least first
-    for j in range(1, len(at)):
-        p = at[j]
-        low = p - size
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        value, i = queue[0]
-        f = prices[j - 1] + value + size - p
-        best.append(f)
-        origin.append(i)
-        g = f + p
+    origin = []
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (f(i) + p(i), p(i), i), least first
+    pop, drop, push = queue.popleft, queue.pop, queue.append
+    for j, (p, price) in enumerate(zip(points, prices), 1):
+        first = queue[0]
+        while p - first[1] > size:
+            pop()
+            first = queue[0]
+        origin.append(first[2])
+        g = price + first[0] + size  # f(j) + p(j)
         while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
-    out, j = [], len(at) - 1
+            drop()
+        push((g, p, j))
+    out, j = [], len(points)
     while j:
-        out.append(at[j])
-        j = origin[j]
+        out.append(points[j - 1])
+        j = origin[j - 1]
     return out[::-1]
 
 
