@@ -33,6 +33,13 @@ def test_base_figures_equal_brute_force(spark):
         assert r["base_failed"] == (n < 50 or 100 * repeated > 50 * n) and not (r["kept"] and r["base_failed"])
 
 
+def test_long_texts_count_the_same():
+    rnd = random.Random(5)
+    for n in (3, 4, 50, 3000):
+        words = [rnd.choice("abcdefghij").encode() for _ in range(n)]
+        assert quality._repeated_many(words) == quality.repeated_words(words)
+
+
 def test_lines_are_judged_first(spark):
     prose_ = "".join(map(line, range(8)))
     menu, rights, table = "Home | About | Contact | Search\n", "Example Ltd. All rights reserved.\n", "a | b | c | d | e | f\n"

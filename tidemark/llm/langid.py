@@ -170,12 +170,13 @@ def _judge(texts: pa.Array, model: Model | None) -> tuple[pa.Array, pa.Array, pa
     n = len(texts)
     lang, score, unsure = ["und"] * n, np.zeros(n), np.zeros(n, bool)
     good = [i for i, t in enumerate(texts.to_pylist()) if t and has_letter(t)] if model else []
-    if good:
-        x = np.array([features(data[offsets[i] : offsets[i + 1]]) for i in good])
+    for k in range(0, len(good), 256):
+        part = good[k : k + 256]
+        x = np.array([features(data[offsets[i] : offsets[i + 1]]) for i in part])
         best, p, flag = model.decode((x @ model.weights).astype(np.float64))
-        for i, b in zip(good, best):
+        for i, b in zip(part, best):
             lang[i] = model.languages[b]
-        score[good], unsure[good] = p, flag
+        score[part], unsure[part] = p, flag
     return pa.array(lang), pa.array(score), pa.array(unsure)
 
 

@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +71,28 @@ def line_fails(line: str, limits: Limits) -> bool:
     return n > limits.open_words and not MARKS.search(line)
 
 
+#: Words from which windows are counted in arrays instead of tuples.
+MANY = 50_000
+
+
+def _repeated_many(words: list) -> int:
+    """repeated_words of a long text, in memory of a few numbers a word."""
+    seen: dict = {}
+    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    n = len(seen)
+    _, pairs = np.unique(codes[:-1] * n + codes[1:], return_inverse=True)
+    _, which, counts = np.unique(pairs[:-1] * n + codes[2:], return_inverse=True, return_counts=True)
+    again = counts[which] > 1
+    covered = np.zeros(len(words), bool)
+    for k in range(3):
+        covered[k : len(words) - 2 + k] |= again
+    return int(covered.sum())
+
+
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window which occurs twice or more."""
+    if len(words) >= MANY:
+        return _repeated_many(words)
     windows = list(zip(words, words[1:], words[2:]))
     if len(set(windows)) == len(windows):
         return 0
