@@ -56,6 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
         ship(spark)
+        self.names: set[str] = set()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -67,11 +68,18 @@ class Scratch:
         The JVM is then asked to collect garbage, so that Spark's cleaner removes the shuffle files that only the ended
         lineage needed; else they would stay on disk until the driver's heap fills up.
         """
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path(name))
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

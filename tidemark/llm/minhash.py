@@ -177,16 +177,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     nodes = scratch.put(reps.join(hits.select("id").distinct(), "id", "left_semi").select("id", "n", "s0", "s1"), "nodes")
     sets = scratch.put(full_sets(docs.join(nodes.select("id").hint("merge"), "id", "left_semi"), k), "sets")
 
-    state = nodes.withColumn("label", F.col("id"))
+    state, latest = nodes.withColumn("label", F.col("id")), "nodes"
 
     def advance(pairs: DataFrame, name: str) -> None:
-        nonlocal state
+        nonlocal state, latest
         pairs = scratch.put(pairs.select("a", "b", "u", "v"), f"pairs-{name}")
         if pairs.take(1):
             links = scratch.put(_confirm(pairs, sets, percent), f"links-{name}")
             if links.take(1):
                 merged = components(links, scratch, f"components-{name}").select(F.col("id").alias("label"), F.col("label").alias("to"))
                 state = scratch.put(state.join(merged, "label", "left").select("id", "n", "s0", "s1", F.coalesce("to", "label").alias("label")), f"state-{name}")
+                latest = f"state-{name}"
 
     advance(hits.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("b")).select(F.col("id").alias("a"), "b", F.col("id").alias("u"), F.col("b").alias("v")), "0")
 
@@ -234,6 +235,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     others = rest.alias("x").join(common.alias("y"), (F.col("x.key") == F.col("y.key")) & close & bound & once).select(*pair)
     advance(sharing.union(others).distinct(), "2")
 
+    scratch.keep("signatures", "representatives", latest)
     classes = reps.select("digest", F.col("id").alias("rep"))
     judged = sig.select("id", "n", "digest").join(classes, "digest", "left")
     labels = state.select(F.col("id").alias("rep"), "label")
