@@ -127,3 +127,44 @@ sql_query(
     "SELECT p_partkey, CAST(p_size AS STRING) AS s, CAST(p_retailprice AS DECIMAL(12,2)) AS dc, try_cast(p_brand AS INT) AS bad, try_cast(right(p_brand, 2) AS INT) AS good, CAST(p_size AS DOUBLE) AS db, CAST(p_size > 10 AS INT) AS b FROM part",
     "SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, CAST(p_retailprice AS DECIMAL(12,2)) AS dc, try_cast(p_brand AS INT) AS bad, try_cast(right(p_brand, 2) AS INT) AS good, CAST(p_size AS DOUBLE) AS db, CAST(p_size > 10 AS INT) AS b FROM part",
 )
+
+
+@query("F_more_math", "SELECT l_orderkey, l_linenumber, l_partkey, round(ln(l_quantity) / ln(3.0), 9) AS l3, CASE WHEN isnan(x) THEN -1.0 ELSE x END AS nv, CASE WHEN l_quantity > 25 THEN l_quantity ELSE l_tax END AS g FROM (SELECT *, CASE WHEN l_linenumber = 2 THEN 'nan'::DOUBLE ELSE l_tax END AS x FROM lineitem WHERE l_orderkey < 1500)")
+def more_math(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 1500").withColumn("x", F.when(F.col("l_linenumber") == 2, F.lit(float("nan"))).otherwise(F.col("l_tax")))
+    q = F.col("l_quantity")
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", F.round(compat.log(3, q), 9).alias("l3"), compat.nanvl(F.col("x"), F.lit(-1.0)).alias("nv"), F.when(q > 25, q).otherwise(F.col("l_tax")).alias("g"))
+
+
+@query(
+    "F_more_string",
+    "SELECT p_partkey, CAST(coalesce(list_position(string_split('Brand#11,Brand#12,Brand#13', ','), p_brand), 0) AS INT) AS fs, trim('xx' || p_brand || 'x', 'x') AS bt, CAST(CASE WHEN regexp_matches(p_brand, '[0-9]') THEN length(regexp_extract(p_brand, '^[^0-9]*')) + 1 ELSE 0 END AS INT) AS ri, CASE WHEN regexp_matches(p_brand, '([a-z]+)#([0-9])') THEN [regexp_extract(p_brand, '([a-z]+)#([0-9])', 1), regexp_extract(p_brand, '([a-z]+)#([0-9])', 2)] END AS rm, CASE WHEN p_brand IS NULL THEN 'n' ELSE p_type END AS n2, substr(p_name, -3) AS tail FROM part",
+)
+def more_string(spark, sf_dir):
+    b = F.col("p_brand")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.find_in_set(b, F.lit("Brand#11,Brand#12,Brand#13")).alias("fs"), F.btrim(F.concat(F.lit("xx"), b, F.lit("x")), F.lit("x")).alias("bt"), F.regexp_instr(b, F.lit("[0-9]")).alias("ri"), compat.regexp_match(b, "([a-z]+)#([0-9])").alias("rm"), F.nvl2(b, F.col("p_type"), F.lit("n")).alias("n2"), F.substring("p_name", -3, 3).alias("tail")
+    )
+
+
+sql_query(
+    "F_more_time",
+    "SELECT event_id, date_part('MINUTE', ts) AS mi, date_format(ts, 'HH:mm') AS ch, CAST(CAST(timestamp_seconds(unix_micros(CAST(ts AS TIMESTAMP)) div 1000000) AS TIMESTAMP_NTZ) AS STRING) AS fu, CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS h, unix_millis(CAST(ts AS TIMESTAMP)) AS ms, weekday(ts) AS wd FROM events",
+    "SELECT event_id, CAST(date_part('minute', ts) AS INT) AS mi, strftime(ts, '%H:%M') AS ch, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS fu, date_trunc('hour', ts) AS h, epoch_us(ts) // 1000 AS ms, CAST(isodow(ts) - 1 AS INT) AS wd FROM events",
+)
+sql_query(
+    "F_more_map",
+    "SELECT n_nationkey, sort_array(map_values(m)) AS vs, map_contains_key(m, 'k') AS has, element_at(m, 'j') AS ex, size(map_entries(m)) AS n, typeof(n_name) AS t FROM (SELECT n_nationkey, n_name, map('k', n_regionkey, 'j', n_nationkey) AS m FROM nation) t",
+    "SELECT n_nationkey, list_sort(map_values(m)) AS vs, map_contains(m, 'k') AS has, m['j'] AS ex, CAST(len(map_entries(m)) AS INT) AS n, 'string' AS t FROM (SELECT n_nationkey, n_name, map(['k', 'j'], [n_regionkey, n_nationkey]) AS m FROM nation) t",
+)
+
+
+def _digests() -> str:
+    import hashlib
+
+    return ", ".join(f"'{hashlib.new(f'sha{n}', b'spark').hexdigest()}' AS s{n}" for n in (224, 384, 512))
+
+
+@query("F_digests", f"SELECT r_regionkey, {_digests()} FROM region")
+def digests(spark, sf_dir):
+    return table(spark, sf_dir, "region").select("r_regionkey", *(F.sha2(F.lit("spark"), n).alias(f"s{n}") for n in (224, 384, 512)))
