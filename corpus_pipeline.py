@@ -29,7 +29,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
     found = near_duplicates(docs, k=5, percent=80)
-    gone = Scratch(spark, "deduplicate").put(found.filter("not kept").select("doc_id").distinct(), "gone")
+    gone = Scratch(spark, "deduplicate", docs).put(found.filter("not kept").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        docs = scratch.put(stage(spark, docs, sf_dir), name, "zstd")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -53,23 +53,38 @@ class Scratch:
     takes its place. Tables written here survive the loss of any executor.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    #: Bytes of the source that stand behind each file of a table at least.
+    FILE = 8 << 20
+
+    def __init__(self, spark: SparkSession, name: str, source: DataFrame | None = None):
         base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
         ship(spark)
         self.names: set[str] = set()
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.most_files = self._most_files(source)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def _most_files(self, source: DataFrame | None) -> int | None:
+        """Files that a table is worth: four a core, or more if the source is larger. Many small ones only cost the store."""
+        if source is None:
+            return None
+        size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return max(4 * self.spark.sparkContext.defaultParallelism, min(size // self.FILE, 1 << 20))
+
+    def put(self, df: DataFrame, name: str, codec: str = "uncompressed") -> DataFrame:
         """Writes df and returns it as read again: lineage ends here.
 
+        Most such tables hold hashes and ids, which don't compress; a codec's buffers outside the heap would cost executors
+        memory for nothing. Texts take "zstd".
+
         The JVM is then asked to collect garbage, so that Spark's cleaner removes the shuffle files that only the ended
         lineage needed; else they would stay on disk until the driver's heap fills up.
         """
         self.names.add(name)
-        df.write.mode("overwrite").parquet(self.path(name))
+        out = df if self.most_files is None else df.coalesce(self.most_files)
+        out.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     the smallest id reachable over links.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(spark, "minhash", docs)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), bytes_of(F.col(text_col)).alias("data"))
     sig = scratch.put(signatures(docs, k, bands, rows), "signatures")
 

@@ -163,7 +163,7 @@ def search(q_ids, q, q_norm, least, v_ids, v, v_norm, k: int) -> list[tuple[int,
 
 def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, block: int = 4096, probe: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by `every`."""
-    scratch = Scratch(rows.sparkSession, "topk")
+    scratch = Scratch(rows.sparkSession, "topk", rows)
     found = scratch.put(vectors(rows, scale=scale, id_col=id_col, vector_col=vector_col), "vectors")
     v = scratch.put(blocks(found.select("id", "dim", "norm", "data"), block, True), "blocks")
     wanted = found.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "data", "norm")).alias("r")).select("id", "r.dim", "r.norm", "r.data")
