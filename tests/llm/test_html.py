@@ -25,6 +25,34 @@ CASES = {
 }
 
 
+FOREIGN = {
+    "<body><svg class=\"i\"/><p>text</p>after</body>": "text\n\nafter",
+    "a <math/>b": "a b",
+    "a <svg viewBox='0 0 1 1'><title/><path d='M0'/><style/></svg>b<p>c": "a b\n\nc",
+    "Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be": "Let x=1 be",
+    "<math><semantics><mi>x</mi><annotation>\\x</annotation><annotation-xml encoding='text/html'><p>no</p></annotation-xml></semantics><mphantom><mi>y</mi></mphantom></math>": "x",
+    "a<math display='block'><mi>x</mi></math>b": "a\nx\nb",
+    "<svg><title>no</title>no<defs><text>no</text></defs><g><text x=1>one <tspan>two</tspan></text><text>three</text></g></svg>four": "one two\nthree\nfour",
+    "<svg><text display='none'>no</text><text style='display:none'>no</text><text>yes</text></svg>": "yes",
+    "<svg><foreignObject><p>in<p>side</foreignObject></svg>out": "in\n\nside\n\nout",
+    "<svg class=i/><g><p>text</p>": "text",
+    "<svg><text><![CDATA[a > b &amp;]]></text></svg>c": "a > b &amp;\nc",
+    "<svg><style>a{}</style><text>t</text></svg>": "t",
+    "<table><tr><td><svg/>a<td><math><mi>x</mi></math></table>": "a | x",
+    "<template><svg><text>no</text></svg></template>x": "x",
+}
+
+
+@pytest.mark.parametrize("page", FOREIGN)
+def test_foreign_content(page):
+    assert html_text.render(page) == FOREIGN[page]
+
+
+def test_foreign_pages_end():
+    for page in ("<svg>" * 20000 + "x", "<svg/>" * 20000 + "x", "<svg><text><![CDATA[" * 5000, "<svg><g " + "a=" * 20000 + '"/>x', "<math><mi>" * 5000 + "x"):
+        html_text.render(page)
+
+
 @pytest.mark.parametrize("page", CASES)
 def test_layout(page):
     assert html_text.render(page) == CASES[page]

@@ -8,6 +8,10 @@ rows with aligned cells, preformatted text as it is.
 Elements are closed as the text goes by, so memory follows the open elements and the text of the tables among them, and work
 is linear in the page. One scan, no shuffle; pages are read whole.
 
+SVG and MathML follow the rules of foreign content: an element with a trailing slash is closed at once, an HTML tag that can't be
+there ends it. Of SVG the `text` elements, each on a line of its own, and the HTML of `foreignObject` are shown; of MathML all text
+but annotations, phantoms and later alternatives. Text that only a `use` element would draw is not followed.
+
 Defined cases: a null or empty page has an empty text. Text after an unclosed script or style is hidden, as in a browser.
 Cells are padded to their column's width up to `WIDEST`; a table within a cell is written on one line. A null id is carried through,
 equal rows give equal rows, other columns are not read.
@@ -34,7 +38,7 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 
 # Kinds of elements as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes".split())
 RAW = frozenset("script style textarea title noscript iframe noframes".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure fieldset hr".split())
 LINES = frozenset("html body div section article aside nav header footer main address form li dt dd tr caption legend details summary figcaption option optgroup center search hgroup dialog".split())
@@ -47,7 +51,15 @@ CLOSES = {
     "thead": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))), "tbody": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))), "tfoot": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))),
     "option": (("option",), frozenset(("select",))), "optgroup": (("option", "optgroup"), frozenset(("select",))), "body": (("head",), frozenset(("html",))),
 }
-_SCOPE = frozenset(("td", "th", "table", "caption", "button"))
+#: By the language of foreign content: elements that aren't shown, and those that hold HTML again.
+UNSHOWN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom style script".split()),
+}
+HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: HTML elements whose start ends foreign content.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_SCOPE = frozenset(("td", "th", "table", "caption", "button", "annotation-xml")).union(*HOLDS_HTML.values())
 _NEVER_IN_HEAD = (PARAGRAPHS | LINES) - {"html"}
 
 
@@ -97,7 +109,7 @@ class _Frame:
 
 
 class _Element:
-    __slots__ = ("tag", "hidden", "number", "rows", "frame", "pre", "indent", "mark")
+    __slots__ = ("tag", "hidden", "number", "rows", "frame", "pre", "indent", "mark", "own", "inner", "mute", "line")
 
     def __init__(self, tag: str, hidden: bool, pre: bool):
         self.tag, self.hidden, self.pre = tag, hidden, pre
@@ -106,6 +118,8 @@ class _Element:
         self.frame: _Frame | None = None
         self.indent = 0
         self.mark = ""
+        self.own = self.inner = ""  # svg or math, where the element itself and what is in it are foreign
+        self.mute = self.line = False  # within svg but not within its text; on lines of its own
 
 
 class Layout:
@@ -134,6 +148,14 @@ class Layout:
         return -1
 
     def start(self, tag: str, attributes: str) -> None:
+        inner = self.open[-1].inner if self.open else ""
+        if inner and (tag in BREAKS_OUT or tag == "font" and any(m[1].lower() in ("color", "face", "size") for m in _ATTRIBUTE.finditer(attributes))):
+            k = len(self.open)
+            while k and self.open[k - 1].inner:
+                k -= 1
+            self._close_upto(k)
+        elif inner or tag == "svg" or tag == "math":
+            return self._foreign(tag, attributes, inner or tag)
         rule = CLOSES.get(tag)
         if rule and any(self.count.get(t) for t in rule[0]):
             k = self._nearest(*rule)
@@ -158,14 +180,15 @@ class Layout:
         if tag in VOID:
             if tag == "hr" and not hidden:
                 frame.gap = True
-            return
+            return None
         if not hidden:
             hidden = tag in HIDDEN or bool(attributes) and self._unseen(attributes)
         e = _Element(tag, hidden, pre or tag in ("pre", "textarea"))
+        e.mute = bool(self.open) and self.open[-1].mute
         self.open.append(e)
         self.count[tag] = self.count.get(tag, 0) + 1
         if hidden:
-            return
+            return None
         e.indent = frame.indent
         if tag == "table":
             e.rows = []
@@ -190,6 +213,40 @@ class Layout:
                 frame.mark = "- "
         elif tag == "dd" or tag == "blockquote":
             frame.indent += 1
+        return None
+
+    def _foreign(self, tag: str, attributes: str, own: str) -> None:
+        if self.open and self.open[-1].tag == "head":
+            self._close_upto(len(self.open) - 1)
+        hidden, pre = self._top()
+        parent = self.open[-1] if self.open else None
+        e = _Element(tag, hidden or tag in UNSHOWN[own] or self._unseen(attributes, foreign=True), pre)
+        e.own = e.inner = own
+        e.mute = tag == "svg" or parent is not None and parent.mute
+        if parent is not None and parent.own == "math" and parent.tag in ("semantics", "maction"):
+            parent.number += 1
+            e.hidden = e.hidden or parent.number > 1
+        if tag in HOLDS_HTML[own] or tag == "annotation-xml" and re.search(r"text/html|application/xhtml\+xml", attributes, re.I):
+            e.inner = ""
+        if own == "svg" and tag in ("text", "foreignobject"):
+            e.mute, e.line = False, True
+        elif tag == "math":
+            e.line = any(m[1].lower() == "display" and (m[2] or "").strip("\"'").lower() == "block" for m in _ATTRIBUTE.finditer(attributes))
+        if e.line and not e.hidden:
+            self.frames[-1].block(False)
+        self.open.append(e)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if self._ends_itself(attributes):
+            self._close_upto(len(self.open) - 1)
+
+    @staticmethod
+    def _ends_itself(attributes: str) -> bool:
+        """Whether a tag ends in a slash that is no part of an unquoted value."""
+        if not attributes.endswith("/"):
+            return False
+        rest = attributes[:-1]
+        at = 1 + max(map(rest.rfind, " \t\n\r\f\"'"))
+        return "=" not in rest[at:] and not rest[:at].rstrip().endswith("=")
 
     def _depth(self) -> int:
         return sum(self.count.get(t, 0) for t in LISTS)
@@ -202,11 +259,13 @@ class Layout:
         return self.open[k] if k >= 0 and self.open[k].rows is not None else None
 
     @staticmethod
-    def _unseen(attributes: str) -> bool:
+    def _unseen(attributes: str, foreign: bool = False) -> bool:
         for m in _ATTRIBUTE.finditer(attributes):
             name = m[1].lower()
             if name == "hidden" or name == "style" and m[2] and _UNSEEN.search(m[2]):
                 return True
+            if foreign and name in ("display", "visibility") and m[2] and _UNSEEN.match(f"{name}:" + m[2].strip("\"'")):
+                return True
         return False
 
     @staticmethod
@@ -233,6 +292,10 @@ class Layout:
         self.count[e.tag] -= 1
         if e.hidden:
             return
+        if e.own:
+            if e.line:
+                self.frames[-1].block(False)
+            return
         if e.frame is not None:
             e.frame.flush()
             self.frames.remove(e.frame) if self.frames[-1] is not e.frame else self.frames.pop()
@@ -269,11 +332,11 @@ class Layout:
             frame.flush()
         frame.gap = True
 
-    def text(self, text: str) -> None:
+    def text(self, text: str, literal: bool = False) -> None:
         hidden, pre = self._top()
-        if hidden or not text:
+        if hidden or not text or self.open and self.open[-1].mute:
             return
-        if "&" in text:
+        if "&" in text and not literal:
             text = html.unescape(text)
         frame = self.frames[-1]
         if pre:
@@ -303,13 +366,17 @@ def render(page: str | None) -> str:
             token = m[0]
             if token[0] != "<" or token == "<":
                 layout.text(token)
+            elif token.startswith("<![CDATA[") and layout.open and layout.open[-1].own:
+                stop = page.find("]]>", m.start() + 9)
+                layout.text(page[m.start() + 9 : stop if stop >= 0 else len(page)], literal=True)
+                at = stop + 3 if stop >= 0 else len(page)
             continue
         tag = tag.lower()
         if m[1]:
             layout.end(tag)
             continue
         layout.start(tag, m[3])
-        if tag in RAW:
+        if tag in RAW and not layout.open[-1].own:
             close = _RAW_END[tag].search(page, at)
             stop = close.start() if close else len(page)
             if tag == "textarea":
