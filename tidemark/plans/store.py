@@ -156,6 +156,25 @@ def transactions(spark, sf_dir):
     return spark.createDataFrame(out, "at string, n long")
 
 
+@query("D11_first_commit", f"SELECT state, user_id, event_type, value FROM (VALUES ('hot'), ('persisted'), ('snapshotted')) s(state), ({_STATE}) t")
+def first_commit(spark, sf_dir):
+    """Schema, table and rows in one transaction, the catalog's commit 0: read hot, persisted and from a snapshot."""
+    e = Engine(spark, _root(spark))
+    e.create_catalog("c")
+    tx = e.begin("c")
+    e.create_schema("c", "app", tx=tx)
+    e.create_table("c", "app", "ev", _COLUMNS, ["user_id"], tx=tx)
+    won = merge.resolve(*events_log(spark, sf_dir), ["user_id"])
+    e.write_data("c", "app", "ev", upserts=won.filter("not is_delete").select("user_id", "event_type", "value"), tx=tx)
+    if e.commit("c", tx) != 0:
+        raise AssertionError("the first commit of a catalog is number 0")
+    out = [_read(e).withColumn("state", F.lit("hot"))]
+    for at, step in (("persisted", e.persist_branch), ("snapshotted", e.snapshot_branch)):
+        step("c")
+        out.append(_read(e).withColumn("state", F.lit(at)))
+    return merge.union(out)
+
+
 @query("D12_tx_lifecycle", "SELECT * FROM (VALUES ('commit', 'committed'), ('commit twice', 'error'), ('abort committed', 'error'), ('abort', 'aborted'), ('abort twice', 'aborted'), ('expired', 'expired'), ('commit expired', 'error')) t(step, outcome)")
 def tx_lifecycle(spark, sf_dir):
     now = [1_000_000]
