@@ -43,6 +43,16 @@ def test_stages_against_their_parts_one_by_one(spark, sf_dir):
     assert {r["doc_id"] for r in e.collect()} == kept
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    """Repeated rows, ids on two texts, and null ids: every group keeps one row, no group goes."""
+    rnd = random.Random(4)
+    a, b, c = (prose(rnd, 80) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, edited(rnd, a, 1)), (None, c), (None, c), (3, edited(rnd, b, 1)), (4, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], SCHEMA)
+    kept = sorted((r["text"] or "", r["doc_id"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, sf_dir).collect())
+    assert kept == sorted([("", 4), ("", 4), (a, 1), (b, 1), (c, None)])
+
+
 def test_awkward_and_empty_tables(spark, sf_dir):
     for df in (awkward(spark), empty(spark)):
         for name, stage in corpus_pipeline.STAGES:
