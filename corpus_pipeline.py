@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, packing, pii, quality
 from tidemark.llm.common import Scratch, table
-from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.minhash import keep_one
 from tidemark.llm.queries import tokenizer_file
 
 
@@ -27,10 +27,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
-    found = near_duplicates(docs, k=5, percent=80)
-    gone = Scratch(spark, "deduplicate", docs).put(found.filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of least id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
+    return keep_one(docs, k=5, percent=80)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name, "zstd")
+        scratch.keep(name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
