@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from tests.llm.helpers import awkward, docs, empty
 from tidemark.llm import pii
@@ -55,3 +58,25 @@ def test_awkward_rows(spark):
     assert pii.find(df).count() == 13 and pii.mask(df).count() == 13
     assert {r["spans"] for r in pii.find(df).collect()} == {""}
     assert pii.find(empty(spark)).collect() == [] and pii.mask(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "unit", ["account" + " " * 1000, "account no. " + " " * 50, "password=", "password = \"", "token" + " " * 30 + ":", "a@", "a@b" * 5, "+1(", "1.", "1-", "AB12 ", "x://a:", "://a:b@", "AKIA", "1.1.1", "4 " * 19 + "x"]
+)
+def test_work_is_linear(unit):
+    """A megabyte of one unit, and the same behind a run of blanks, takes seconds."""
+    begun = time.perf_counter()
+    for text in (unit * (1_000_000 // len(unit)), unit + " " * 1_000_000, unit + "a" * 1_000_000, unit + "9" * 1_000_000):
+        pii.spans(text)
+    assert time.perf_counter() - begun < 20
+
+
+def test_values_behind_cues():
+    text = "password=hunter22 token: abcdef secret='s3cret99' password=aaaaaaa account no. : 1234 5678 90 acct #4444-5555 api_key=password=x1y2z3"
+    found = [(k, text[a:b]) for k, a, b in pii.spans(text) if k in ("secret", "account")]
+    assert found == [("secret", "hunter22"), ("secret", "s3cret99"), ("account", "1234 5678 90"), ("account", "4444-5555"), ("secret", "password=x1y2z3")]
+
+
+def test_added_kinds_are_counted(spark):
+    r = pii.find(docs(spark, ["password=hunter22, see ftp://u:p4@h.org/x and account no 12345678"])).first()
+    assert (r["n_secret"], r["n_url"], r["n_account"], r["n_iban"]) == (1, 1, 1, 0)

@@ -3,7 +3,8 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, scheme separators, digits and identifier cues.
 From each anchor a local parser expands to the boundaries of an email, address, number, account or secret and validates
 it. A kind's spans are the leftmost non-overlapping matches of its pattern; a match that fails validation is dropped
-and the search goes on behind it. Work is linear in the text; one scan, no shuffle; texts are read whole.
+and the search goes on behind it. Work is linear in the text: no two parts of a pattern can share a run of characters, and a value
+that failed is not looked at again from a cue within it. One scan, no shuffle; texts are read whole.
 
 Kinds: email, ip, card (14 to 19 digits, Luhn), phone (10 to 15 digits); added to these: url (an address that carries
 credentials), iban (check digits modulo 97), account (a number behind a cue such as "account no"), secret (a value
@@ -38,8 +39,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _USERINFO = re.compile(r"://[^\s/?#@:]+:[^\s/?#@]+@[^\s/?#\"'<>]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_NUMBER = re.compile(r"(?:\s+(?:number|no|nr))?\.?\s*[:#=]?\s*([0-9][0-9 -]{4,20}[0-9])(?![0-9A-Za-z])")
-_VALUE = re.compile(r"[\"']?\s*[:=]\s*[\"']?([^\s\"']{6,})")
+_NUMBER = re.compile(r"(?:\s++(?:number|no|nr))?+\.?+\s*+(?:[:#=]\s*+)?+([0-9][0-9 -]{4,20}[0-9])(?![0-9A-Za-z])")
+_VALUE = re.compile(r"[\"']?+\s*+[:=]\s*+[\"']?+([^\s\"']{6,}+)")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "social security")
 _SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "access_key")
@@ -132,8 +133,8 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 add("secret", at, m.end())
         elif at >= past[anchor] and not (at and text[at - 1].isalpha()):
             m = (_NUMBER if anchor == "account" else _VALUE).match(text, last + 1)
-            if m and (anchor == "account" or any(c.isdigit() for c in m[1])):
-                add(anchor, m.start(1), m.end(1))
+            if m:  # a value without a digit has none behind a later cue either
+                add(anchor, m.start(1), m.end(1), anchor == "account" or any(map(str.isdigit, m[1])))
     found.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return found
 
@@ -153,21 +154,23 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and spans of each document."""
+    """Counts of each kind and spans of each document; base_sha256 covers the spans of the four base kinds."""
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[len(BASE) :])]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, hashes, strings = [[] for _ in BASE], [], []
+        counts, hashes, strings = [[] for _ in KINDS], [], []
         for text in batch.column(1).to_pylist():
             found = spans(text)
             base = [s for s in found if s[0] in BASE]
-            for kind, into in zip(BASE, counts):
-                into.append(sum(s[0] == kind for s in base))
+            for kind, into in zip(KINDS, counts):
+                into.append(sum(s[0] == kind for s in found))
             hashes.append(hashlib.sha256(_joined(base).encode()).hexdigest())
             strings.append(_joined(found))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes), pa.array(strings)], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+        counts = [pa.array(c, pa.int64()) for c in counts]
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts[: len(BASE)], pa.array(hashes), pa.array(strings), *counts[len(BASE) :]], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return per_slice(rows, "t", work, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return per_slice(rows, "t", work, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in names))
 
 
 def mask(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
