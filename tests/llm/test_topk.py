@@ -46,3 +46,16 @@ def test_large_numbers_and_few_rows(spark):
     q, v = np.array([[2.0**40, 3.0]]), np.array([[2.0**22, 5.0]])
     assert topk.products(q, v)[0, 0] == 2**62 + 15
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_blocks_meet_in_a_grid_and_not_by_dimension(spark):
+    """More than one task though all vectors share their dimension; short vectors don't meet queries that need long ones."""
+    block = lambda n, longest, first: (4, n, longest, np.arange(first, first + n).tobytes(), np.full((n, 4), longest / 2).tobytes())
+    v = spark.createDataFrame([block(2, 2.0 ** (i % 6), 100 * i) for i in range(24)], topk._BLOCK)
+    q = spark.createDataFrame([(4, np.arange(i, i + 1).tobytes(), np.ones((1, 4)).tobytes(), np.zeros(1).tobytes(), float(8 if i else -1e300)) for i in range(70)], "q_dim int, q_ids binary, q_data binary, least binary, need double")
+    met = topk.grid(v, q)
+    pairs = [(np.frombuffer(r["q_ids"], np.int64)[0], np.frombuffer(r["ids"], np.int64)[0] // 100) for r in met.collect()]
+    assert sorted(pairs) == sorted((i, j) for i in range(70) for j in range(24) if not i or 2.0 ** (j % 6) >= 8)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "Cartesian" not in plan
+    assert met.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).filter(bool).count() > 8

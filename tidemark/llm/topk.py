@@ -6,8 +6,10 @@ lengths stays below that; else the local cosine threshold (threshold over the pr
 block's prefix that is long enough) or, if it is high, coordinate pruning (the range that the query's heaviest coordinate
 leaves to the vectors' own). Products of what remains are verified exactly in integers.
 
-Queries meet rows block by block; blocks have bounded size and no key, so repeated vectors crowd no task. Each pair of
-blocks sends at most k rows a query to the final ranking, a window by query.
+Queries meet rows in a grid. Blocks, of bounded size, go to cells of blocks of like length; a block of queries is sent only to
+cells that can hold a result for it, by the lengths alone, before any vector moves; and where there are many query blocks, each
+cell is repeated for groups of them. A grid point has its own key, so neither a dimension that all vectors share nor repeated
+vectors crowd a task. Each pair of blocks sends at most k rows a query to the final ranking, a window by query.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an
 id. A query is compared with vectors of its own dimension only, and never with rows of its own id. Rows that repeat an id
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 _BLOCK = "dim int, n int, longest double, ids binary, data binary"
+#: Kinds of blocks by dimension and length, at most; blocks of a cell and queries' blocks of a group that are aimed at.
+KINDS = 512
+CELLS = 2048
+GROUP = 32
 _BIG = 2.0**40
 _EXACT = 2.0**53
 
@@ -161,6 +167,34 @@ def search(q_ids, q, q_norm, least, v_ids, v, v_norm, k: int) -> list[tuple[int,
     return out
 
 
+def grid(v: DataFrame, q: DataFrame) -> DataFrame:
+    """Each block of rows beside each block of queries that it can hold a result for: a stated query set against all rows, in blocks.
+
+    v: the blocks; q: the queries' blocks with `need`, the length from which a vector can be a result for one of them.
+    """
+    octave = F.when(F.col("longest") > 0, F.floor(2 * F.log2("longest"))).otherwise(-9999)
+    v = v.withColumn("kind", F.pmod(F.xxhash64("dim", octave), F.lit(KINDS)).cast("int")).withColumn("h", F.xxhash64("ids"))
+    kinds = v.groupBy("kind").agg(F.count("*").alias("c"), F.max("longest").alias("longest"), F.min("dim").alias("low"), F.max("dim").alias("high")).collect()  # KINDS rows at most
+    blocks_, groups = sum(r["c"] for r in kinds), max(1, -(-q.count() // GROUP))
+    size = max(1, blocks_ // CELLS)
+    first, cells, known = 0, {}, []
+    for r in sorted(kinds, key=lambda r: r["kind"]):
+        n = -(-r["c"] // size)
+        cells[r["kind"]] = (first, n)
+        known.append((first, n, r["longest"] * (1 + _SLACK), r["low"], r["high"]))
+        first += n
+    spark = v.sparkSession
+    place = F.broadcast(spark.createDataFrame([(k, *c) for k, c in cells.items()], "kind int, first int, cells int"))
+    reach = F.broadcast(spark.createDataFrame(known, "first int, cells int, reach double, low int, high int"))
+    v = v.join(place, "kind").withColumn("cell", F.col("first") + F.pmod("h", "cells").cast("int"))
+    v = v.select("dim", "ids", "data", "cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    q = q.join(reach, (F.col("q_dim") >= F.col("low")) & (F.col("q_dim") <= F.col("high")) & (F.col("reach") >= F.col("need")))
+    q = q.withColumn("group", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence("first", F.col("first") + F.col("cells") - 1)))
+    parts = max(1, min(first * groups, 8192))
+    v, q = v.repartition(parts, "cell", "group"), q.select("q_dim", "q_ids", "q_data", "least", "cell", "group").repartition(parts, "cell", "group")
+    return v.hint("merge").join(q, ["cell", "group"]).select("dim", "ids", "data", "q_dim", "q_ids", "q_data", "least")
+
+
 def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, block: int = 4096, probe: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by `every`."""
     scratch = Scratch(rows.sparkSession, "topk", rows)
@@ -187,22 +221,23 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, blo
                             least[at : at + 512] = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
                 least -= np.abs(least) * 1e-12
                 least[~np.isfinite(least)] = -1e300
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["ids"]]), pa.array([r["data"]]), pa.array([least.tobytes()])], ["q_dim", "q_ids", "q_data", "least"])
+                need = float(np.min(np.where(norm > 0, least / np.where(norm > 0, norm, 1), -1e300)))
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]], pa.int32()), pa.array([r["ids"]]), pa.array([r["data"]]), pa.array([least.tobytes()]), pa.array([need])], ["q_dim", "q_ids", "q_data", "least", "need"])
 
     first = longest.groupBy("p_dim").agg(F.min(F.struct("p_ids", "p_data")).alias("p")).select("p_dim", "p.*")
-    q = scratch.put(q.join(first, F.col("dim") == F.col("p_dim"), "left").select("dim", "ids", "data", "p_ids", "p_data").mapInArrow(bounds, "q_dim int, q_ids binary, q_data binary, least binary"), "bounds")
+    q = scratch.put(q.join(first, F.col("dim") == F.col("p_dim"), "left").select("dim", "ids", "data", "p_ids", "p_data").mapInArrow(bounds, "q_dim int, q_ids binary, q_data binary, least binary, need double"), "bounds")
 
     def meet(batches):
         for batch in batches:
             for r in batch.to_pylist():
+                if r["dim"] != r["q_dim"]:
+                    continue
                 q_ids, x, q_norm = _unpack(r["dim"], r["q_ids"], r["q_data"])
                 v_ids, y, v_norm = _unpack(r["dim"], r["ids"], r["data"])
                 hits = search(q_ids, x, q_norm, np.frombuffer(r["least"], np.float64), v_ids, y, v_norm, k)
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits)], ["query_id", "vec_id", "score"])
 
-    # a stated query set against all rows, in blocks: every query block meets every block of its dimension
-    pairs = v.select("dim", "ids", "data").crossJoin(q).filter("dim = q_dim + 0")
-    near = pairs.select("dim", "ids", "data", "q_ids", "q_data", "least").mapInArrow(meet, "query_id long, vec_id long, score long")
+    near = grid(v, q).mapInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
