@@ -2,6 +2,8 @@ import random
 
 from tests.llm.helpers import awkward, docs, empty, prose
 from tidemark.llm import quality
+from tidemark.llm.common import table
+
 
 def line(n):
     """A sentence of 19 words that shares no three of them with another."""
@@ -50,6 +52,22 @@ def test_lines_are_judged_first(spark):
     assert out[1]["n_chars"] == len(prose_)
 
 
+def test_rules_of_form_in_any_language():
+    limits, fails = quality.Limits(), lambda t: quality.line_fails(t, quality.Limits())
+    assert fails("uno | dos") and fails("Über uns » Presse » Team") and fails("see https://a.org/x https://b.org") and fails("mot " * 11) and fails("Alle Rechte vorbehalten 2020")
+    for good in ("Kurzer Titel", "Ein Satz mit einem | Strich, der lang genug ist, um Prosa zu sein.", "- one item of a list", "mot " * 10, "mot " * 200 + "fin.", "• ein Punkt", "read https://a.org/x before you go on with this."):
+        assert not fails(good), good
+    assert quality.listed(["a", "b c", "", "d", "e"], limits) == {0, 1, 3, 4} and quality.listed(["a", "b.", "c", "d", "e"], limits) == set()
+
+
+def test_labels_of_the_corpus(spark, sf_dir):
+    """Clean documents stay; junk goes."""
+    sf_dir = sf_dir.replace("0.001", "0.01")
+    judged = quality.judge(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "base_failed", "kept").count().collect()
+    count = {(r["quality"], r["base_failed"], r["kept"]): r["count"] for r in judged}
+    assert (1, False, False) not in count and (0, False, True) not in count and count[1, False, True] > 200 and count[0, False, False] > 20
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     got = quality.judge(df).collect()

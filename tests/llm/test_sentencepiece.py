@@ -27,6 +27,23 @@ def test_same_ids_and_texts_as_the_library(library):
         assert model.decode(model.encode(t)) == library.decode(ids), repr(t)
 
 
+def test_runs_of_blanks_go_through_the_automaton(library, monkeypatch):
+    model = sp.Model(PATH)
+    for n in (*range(2, 70), 300):
+        for word in ("", "a", "the x", "é", "\n", "=  b"):
+            t = " " * n + word
+            assert np.frombuffer(model.encode(t), "<u4").tolist() == library.encode(t), repr(t)
+
+
+def test_any_ids_decode_as_the_library_does(library):
+    rnd, model = random.Random(8), sp.Model(PATH)
+    blank = [i for i, p in enumerate(model.pieces) if set(p) == {"▁"}]
+    pools = [range(32000), range(259), [0, 1, 2, 35, 36, 194, 209, *blank[:4], *range(200, 250), 260, 300], [1, 2, *blank[:3], 300, 35]]
+    for n in range(8000):
+        ids = [rnd.choice(pools[n % 4]) for _ in range(rnd.randint(0, 9))]
+        assert model.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids), ids
+
+
 def test_tables_may_overflow(library, monkeypatch):
     monkeypatch.setattr(sp, "WORDS", 5)
     monkeypatch.setattr(sp, "PAIRS", 7)
@@ -67,5 +84,6 @@ def test_operators(spark, library):
     assert {r["doc_id"]: r["ids"] for r in ids.collect()} == {i: library.encode(t or "") for i, t in enumerate(texts)}
     assert {r["doc_id"]: r["text"] for r in sp.decode(ids, model=PATH).collect()} == {i: t or "" for i, t in enumerate(texts)}
     got = sp.round_trip(awkward(spark), model=PATH).collect()
-    assert len(got) == 13 and all(r["same"] for r in got)
+    assert len(got) == 13 and all(r["same"] and r["n_ids"] == len(r["ids"]) for r in got)
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted((r["doc_id"] or -1, r["text"] or "") for r in awkward(spark).collect())
     assert sp.round_trip(empty(spark), model=PATH).collect() == []

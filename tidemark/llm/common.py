@@ -6,6 +6,7 @@ longer code point, so working on bytes gives the same words as working on charac
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import hashlib
 import os
@@ -13,6 +14,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,13 +23,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch: few enough that a batch of long texts is small, enough that its cost is spread.
-BATCH = 2000
+#: Rows and bytes of an Arrow batch: few enough that a batch of long texts is small, enough that its cost is spread.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _SHIPPED: set[str] = set()
+#: Folders of scratch tables of this process, by application.
+_ROOTS: dict[str, set[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, so that they need no path of their own to it."""
+    """Sends this package to the executors, once per application, so that they need no path of their own to it.
+
+    Arrow batches take the sizes of ARROW, which results need until they are computed, unless the session has sizes of its own.
+    """
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         _SHIPPED.add(app)
@@ -37,8 +44,48 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         spark.sparkContext.addPyFile(to)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    for key, value in ARROW.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Has a setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the cluster for intermediate tables: spark.checkpoint.dir; on one machine a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tidemark-scratch")
+    return base.rstrip("/")
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables that this process made in the application; results that read them can't be computed any more."""
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,18 +96,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Intermediate tables in the shared folder of the cluster.
 
-    The folder is spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary folder
-    takes its place. Tables written here survive the loss of any executor.
+    Tables written here survive the loss of any executor. Those that a result is read from stay until `release`, or the end of the
+    driver's process; all others are dropped by the operator that made them.
     """
 
     #: Bytes of the source that stand behind each file of a table at least.
     FILE = 8 << 20
 
     def __init__(self, spark: SparkSession, name: str, source: DataFrame | None = None):
-        base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
         ship(spark)
         self.names: set[str] = set()
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, set()).add(self.root)
         self.most_files = self._most_files(source)
 
     def path(self, name: str) -> str:
@@ -79,13 +126,13 @@ class Scratch:
         Most such tables hold hashes and ids, which don't compress; a codec's buffers outside the heap would cost executors
         memory for nothing. Texts take "zstd".
 
-        The JVM is then asked to collect garbage, so that Spark's cleaner removes the shuffle files that only the ended
-        lineage needed; else they would stay on disk until the driver's heap fills up.
+        Shuffle files go as soon as the table is written; else those that only the ended lineage needed would stay on disk until
+        the driver's heap fills up.
         """
         self.names.add(name)
         out = df if self.most_files is None else df.coalesce(self.most_files)
-        out.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            out.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def keep(self, *names: str) -> None:
@@ -95,9 +142,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         self.names.discard(name)
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.spark, self.path(name))
 
 
 def bytes_of(text: Column) -> Column:

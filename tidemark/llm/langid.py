@@ -4,9 +4,10 @@ Each language has a codeword of bits. One binary classifier per bit, a ridge reg
 trigrams of the lower-cased text, predicts that bit. A text's language is the codeword with the least loss, each bit weighted by
 how well its classifier does on held-out rows; a text whose two nearest codewords lie close together is flagged ambiguous.
 
-Training reads a bounded sample of labelled rows (`per_language` each, chosen by a hash of the id, at most `languages`
-languages); it is solved on the driver from their feature vectors of fixed size. Prediction is one scan with the model in
-the closure (8192 numbers a bit); whole texts are read, in pieces.
+Training reads a bounded sample of labelled rows, chosen by a hash of the id: `per_language` of each language, fewer where there are so
+many languages that this would be more than `sample` rows, but two at least, so every language is learned. It is solved on the
+driver from their feature vectors of fixed size. Prediction is one scan with the model in the closure (8192 numbers a bit);
+whole texts are read, in pieces.
 
 Defined cases: a text that is null or has no letter is `und` with score 0. Without any labelled text all are `und`. With one
 language all texts with letters get it. Rows with a null id or a null label aren't learned from. Equal texts get equal answers.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import per_slice, text_column
@@ -112,27 +113,30 @@ class Model:
         return away.argmin(axis=1), score, gap < self.ambiguous
 
 
-def _labelled(docs: DataFrame, learn: Column, per_language: int, languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """A bounded, reproducible sample: about `per_language` rows of each language by a hash of the id."""
+def _labelled(docs: DataFrame, learn: Column, per_language: int, sample: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int, int]:
+    """A reproducible sample of about `per_language` rows of each language by a hash of the id, or fewer to keep to `sample` rows;
+    how many of each that is, and how many languages there are."""
+    lang = F.col(lang_col).cast("string")
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r["lang"]: r["n"] for r in known.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
+    each = max(2, min(per_language, sample // max(1, len(counts))))
     unit = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 30))
-    share = F.lit(False)
-    for r in counts:
-        share = share | ((F.col(lang_col) == r["lang"]) & (unit < int(min(1.0, 1.5 * per_language / r["n"]) * (1 << 30))))
-    return known.filter(share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), unit.alias("unit"))
+    limit = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(min(1.0, max(1.5 * each, each + 16) / n) * (1 << 30))))) if counts else None
+    rows = known.filter(unit < F.element_at(limit, lang)) if counts else known.limit(0)
+    return rows.select(lang.alias("lang"), F.col(text_col).alias("t"), unit.alias("unit")), each, len(counts)
 
 
-def train(docs: DataFrame, *, learn: Column, per_language: int = 200, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def train(docs: DataFrame, *, learn: Column, per_language: int = 200, sample: int = 3200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits the bit classifiers on a bounded sample of the rows for which `learn` holds."""
-    sample = _labelled(docs, learn, per_language, languages, id_col, text_col, lang_col)
+    chosen, per_language, languages = _labelled(docs, learn, per_language, sample, id_col, text_col, lang_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_column(batch.column(1))
         x = [_packed(features(data[offsets[i] : offsets[i + 1]])) for i in range(batch.num_rows)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), batch.column(2)], ["lang", "x", "unit"])
 
-    rows = per_slice(sample, "t", work, "lang string, x binary, unit long").orderBy("unit", "lang", "x").limit(2 * per_language * languages).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "x"))
+    rows = per_slice(chosen, "t", work, "lang string, x binary, unit long").withColumn("place", place).filter(F.col("place") <= per_language).orderBy("unit", "lang", "x").collect() if languages else []
     if not rows:
         return None
     names = tuple(sorted({r["lang"] for r in rows}))

@@ -4,6 +4,9 @@ Every line of a text is judged by itself: navigation, boilerplate, punctuation a
 a document goes if the lines it lost hold too large a share of its words, or if it fails the base rules (too few words,
 or more than half of the words in 3-word windows that occur again). One scan, no shuffle; texts are read whole.
 
+The rules go by form and hold in any language: the density of separators and of links, symbols and capitals, runs of short
+lines without a sentence mark, and lines of ordinary length without any. Lists of phrases in four languages only help.
+
 Words are maximal runs of characters other than 0x20 and 0x09-0x0D; lines are split at 0x0A.
 
 Defined cases: a null text has no words and fails. A null doc_id is carried through. Equal rows give equal rows. Of the
@@ -27,24 +30,37 @@ from tidemark.llm.common import per_slice
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript", "powered by wordpress",
     "licensed under", "is licensed", "released under the", "subscribe to our newsletter", "click here to", "copyright ©", "(c) copyright",
-)
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendung von cookies",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal",
+)
 #: Entries of navigation bars, lower case.
-NAVIGATION = frozenset("home menu login logout register search about contact help next previous prev back top share print sitemap faq skip more news blog".split())
-#: Marks that prose of any length has.
-MARKS = re.compile(r"[.!?:;…。！？]")
+NAVIGATION = frozenset(
+    "home menu login logout register search about contact help next previous prev back top share print sitemap faq skip more news blog "
+    "startseite anmelden suche kontakt impressum hilfe weiter zurück accueil connexion recherche suivant précédent inicio buscar contacto ayuda siguiente anterior".split()
+)
+#: Marks that prose of any length has, and those between the entries of a bar.
+MARKS = re.compile(r"[.!?:;…。！？؟।]")
+SEPARATORS = re.compile(r"[|»«›‹·•]")
+LINKS = ("http://", "https://", "www.")
 SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
+_EDGES = "|»«›‹>·•/-,.: "
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Of a line: symbols a word, share of words in capitals, words a navigation cell may have, words a line without
-    any sentence mark may have. Of a document: words at least, percent of repeated words and of lost words at most."""
+    """Of a line: symbols a word, share of words in capitals, words for each separator and share of links from which it is
+    navigation, words it may have without any sentence mark. Of short lines without a mark: words, and how many may follow each other.
+    Of a document: words at least, percent of repeated words and of lost words at most."""
 
     symbols_per_word: float = 0.5
     capitals: float = 0.8
-    cell_words: float = 2.0
-    open_words: int = 200
+    words_per_separator: float = 4.0
+    links: float = 0.4
+    open_words: int = 10
+    short_words: int = 4
+    short_lines: int = 3
     least_words: int = 50
     repeated: int = 50
     lost: int = 40
@@ -52,18 +68,19 @@ class Limits:
 
 def line_fails(line: str, limits: Limits) -> bool:
     """Whether a line with at least one word is navigation, boilerplate or noise."""
-    words = line.encode().split()
-    n = len(words)
-    low = line.lower()
+    raw = line.encode()
+    words = raw.split()
+    n, low = len(words), line.lower()
     for phrase in BOILERPLATE:
         if phrase in low:
             return True
-    if n <= 8 and all(w.strip("|»>·/-,.: ") in NAVIGATION or not w.strip("|»>·/-,.: ") for w in low.split()):
+    if n <= 8 and all(w.strip(_EDGES) in NAVIGATION or not w.strip(_EDGES) for w in low.split()):
         return True
-    cells = line.count("|") + line.count("»")
-    if cells >= 3 and n - cells <= limits.cell_words * (cells + 1):
+    cells = len(SEPARATORS.findall(line, 1))  # a mark at the start is a bullet
+    if cells and n - cells < limits.words_per_separator * cells:
+        return True
+    if any(k in low for k in LINKS) and sum(w.lstrip("(<[\"'").startswith(LINKS) for w in low.split()) >= limits.links * n:
         return True
-    raw = line.encode()
     if len(raw) - len(raw.translate(None, SYMBOLS)) > limits.symbols_per_word * n:
         return True
     if n >= 5 and line != low and sum(w.isupper() for w in line.split()) > limits.capitals * n:
@@ -71,6 +88,20 @@ def line_fails(line: str, limits: Limits) -> bool:
     return n > limits.open_words and not MARKS.search(line)
 
 
+def listed(lines: list[str], limits: Limits) -> set[int]:
+    """Places of lines that are short, without a sentence mark, and one of more than `short_lines` such lines on end (blank ones apart)."""
+    found, run = set(), []
+    for at, line in enumerate([*lines, "."]):
+        if len(line) < 200 and len(line.split()) <= limits.short_words and not MARKS.search(line):
+            if line.strip(_SPACES):
+                run.append(at)
+        else:
+            if len(run) > limits.short_lines:
+                found.update(run)
+            run = []
+    return found
+
+
 #: Words from which windows are counted in arrays instead of tuples.
 MANY = 50_000
 
@@ -112,7 +143,9 @@ def judge_text(text: str | None, limits: Limits) -> tuple:
     words = raw.split()
     n = len(words)
     dup, lost, seen, left = 0, 0, set(), []
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    menu = listed(lines, limits)
+    for at, line in enumerate(lines):
         if not line.strip(_SPACES):
             left.append(line)
         elif line in seen:
@@ -120,7 +153,7 @@ def judge_text(text: str | None, limits: Limits) -> tuple:
             lost += len(line.encode().split())
         else:
             seen.add(line)
-            if line_fails(line, limits):
+            if at in menu or line_fails(line, limits):
                 lost += len(line.encode().split())
             else:
                 left.append(line)

@@ -13,11 +13,13 @@ No piece of the supported models goes across the start of a word, so words are e
 Characters without a piece fall back to bytes, or to the unknown piece. One scan, no shuffle; texts are read whole.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text. Equal texts get equal ids. Models with a
-character map of their own (other than `identity`) are refused. Only the id and the text are read.
+character map of their own (other than `identity`) are refused. Bytes that are no character decode to one replacement character
+each. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import struct
@@ -110,6 +112,7 @@ class Model:
         self.whole: dict[int, bool] = {}
         self.text = [b"" if k not in (_NORMAL, _USER, _BYTE) else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.text[self.unknown] = " ⁇ ".encode()
+        self.apart = {i for i, k in enumerate(self.kinds) if k not in (_NORMAL, _USER, _BYTE)}  # no character goes across these
 
     # --- BPE -----------------------------------------------------------------------------------------------
 
@@ -154,8 +157,8 @@ class Model:
         return known
 
     def _bpe(self, text: str) -> list[int]:
-        if text.startswith(SPACE * 2):  # runs of blanks tie in rank
-            return self.merged(text)
+        """The same relaxation with validity for a score: a position's best state is the one piece that may end there, and it is
+        reached only from a best state that it may follow."""
         last, known, n = [-1] * len(text), self.pairs.get, len(self.pieces)
         for end, (i, size) in self.automaton.iter(text):
             if last[end] < 0:
@@ -172,6 +175,7 @@ class Model:
         return self._back(last, text)
 
     def _unigram(self, text: str) -> list[int]:
+        """The best sum of scores at each position, relaxed from where the pieces that end there begin."""
         best, last = [float("-inf")] * len(text), [-1] * len(text)
         for end, (i, size) in self.automaton.iter(text):
             begin = end - size
@@ -231,11 +235,27 @@ class Model:
         return b"".join([known(u) or word(u) for u in self.units.findall(text)])
 
     def decode(self, ids: bytes) -> str:
-        table = self.text
-        raw = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        if self.prefix and raw.startswith(b" "):
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        found = np.frombuffer(ids, "<u4").tolist()
+        if self.apart.isdisjoint(found):
+            raw = b"".join([self.text[i] for i in found])
+            if self.prefix and found and raw.startswith(b" ") and self.kinds[found[0]] != _BYTE:
+                raw = raw[1:]
+            return raw.decode("utf-8", "each")
+        out, run, begun = [], [], False
+        for i in [*found, -1]:
+            if i >= 0 and i not in self.apart:
+                run.append(self.text[i][1:] if self.prefix and not begun and self.kinds[i] != _BYTE and self.text[i].startswith(b" ") else self.text[i])
+                begun = begun or bool(run[-1])
+            else:
+                out.append(b"".join(run).decode("utf-8", "each"))
+                run = []
+                if i >= 0 and self.text[i]:
+                    out.append(self.text[i].decode())
+                    begun = True
+        return "".join(out)
+
+
+codecs.register_error("each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 @lru_cache(maxsize=2)
@@ -269,22 +289,21 @@ def decode(encoded: DataFrame, *, model: str, id_col: str = "doc_id", ids_col: s
 
 
 def round_trip(docs: DataFrame, *, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32, text_crc32 (of the decoded text) and same (it equals the text)."""
-    names = ["doc_id", "n_ids", "ids_crc32", "text_crc32", "same"]
+    """doc_id, n_ids, ids, text (decoded from the ids), ids_crc32, text_crc32 (of the decoded text) and same (it equals the text)."""
+    names = ["doc_id", "n_ids", "ids", "text", "ids_crc32", "text_crc32", "same"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = _model(model)
-        n, crc, back, same = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            ids = m.encode(text)
-            decoded = m.decode(ids)
-            n.append(len(ids) // 4)
-            crc.append(zlib.crc32(ids))
-            back.append(zlib.crc32(decoded.encode()))
-            same.append(decoded == (text or ""))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, crc, back)), pa.array(same, pa.bool_())], names)
-
-    return per_slice(_texts(docs, id_col, text_col), "t", work, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, same boolean")
+        texts = batch.column(1).to_pylist()
+        ids = [m.encode(text) for text in texts]
+        back = [m.decode(i) for i in ids]
+        n = np.array([len(i) // 4 for i in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        crc, crc_back = (pa.array([zlib.crc32(x) for x in what], pa.int64()) for what in (ids, map(str.encode, back)))
+        same = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists, pa.array(back, pa.string()), crc, crc_back, same], names)
+
+    return per_slice(_texts(docs, id_col, text_col), "t", work, "doc_id long, n_ids long, ids array<int>, text string, ids_crc32 long, text_crc32 long, same boolean")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
