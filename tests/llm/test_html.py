@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from tidemark.llm import html_text
@@ -25,6 +29,40 @@ CASES = {
 }
 
 
+SPANS = {
+    "<table><tr><td>a<td colspan=2>wide one<tr><td>b<td>c<td>d</table>": "a | wide one\nb | c | d",
+    "<table><tr><td rowspan=2>tall<td>x<tr><td>y<tr><td>z<td>w</table>": "tall | x\n     | y\nz    | w",
+    "<table><tr><td colspan=2 rowspan=2>both<td>1<tr><td>2<tr><td>3<td>4<td>5</table>": "both  | 1\n  |   | 2\n3 | 4 | 5",
+    "<table><tr><td rowspan=0>all<td>1<tr><td>2<tr><td>3</table>": "all | 1\n    | 2\n    | 3",
+    "<table><tr><td colspan=9>head<tr><td>1<td>2</table>": "head\n1 | 2",
+    "<table><tr><td colspan=999>far<td>too<tr><td>1<td>long</table>": "far | too\n1 | long",
+    "<table><tr><td>a<td><tr><td rowspan=2><tr><td>b</table>": "a |\n  | b",
+}
+
+
+@pytest.mark.parametrize("page", SPANS)
+def test_spanning_cells(page):
+    assert html_text.render(page) == SPANS[page]
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a b=\"", "<a b='", "<a<a", "<a \"<b '", "<", "</", "<!", "<!--", "<a b=\">\" ", "<div><p>x", "<td colspan=999>x", "<tr><td rowspan=999>x", "<td rowspan=64>x<tr>", "<ul><li>x", "<b><i><p>", "<script>", "<svg><g>", "<table><tr><td>", "</p>", "<a x" + " " * 99, "&amp", "<math><mi><p>", "<li><b>", "<dd>", "<select><option>"]
+)
+def test_work_is_linear(unit):
+    """Megabytes of one unit take seconds, alone, behind others and before an end."""
+    begun = time.perf_counter()
+    n = 500_000 // len(unit)
+    for page in (unit * n, "<ul><li>" + unit * n + "</li>", unit * n + "\">'>", unit * (n // 2) + "<li>" * 20000 + "<p>" * 20000):
+        html_text.render(page)
+    assert time.perf_counter() - begun < 30
+
+
+def test_deep_lists_within_others_are_linear():
+    begun = time.perf_counter()
+    html_text.render("<li>" + "<b>" * 30000 + "<ul>" + "<b>" * 30000 + "<li>" * 30000)
+    assert time.perf_counter() - begun < 10
+
+
 FOREIGN = {
     "<body><svg class=\"i\"/><p>text</p>after</body>": "text\n\nafter",
     "a <math/>b": "a b",
@@ -71,3 +109,126 @@ def test_table_rows(spark):
     assert len(got) == 5 and [r["n_chars"] for r in got if r["page_id"] == 3] == [300000]
     assert {(r["page_id"], r["text"]) for r in got if r["page_id"] != 3} == {(1, "a"), (None, ""), (2, ""), (2, "a")}
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+# A plain tree and a recursive layout, to hold the single pass against.
+
+
+def grow(rnd, depth=0, inside=""):
+    """A random list of nodes: text, or (tag, attributes, children)."""
+    out = []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.choice(["text", "text", "b", "p", "div", "br", "list", "table", "hidden", "blockquote"])
+        if kind == "text" or depth > 3:
+            out.append(rnd.choice(["", " "]) + " ".join(rnd.choice(["alpha", "b", "cee", "é", "&lt;"]) for _ in range(rnd.randint(1, 3))) + rnd.choice(["", " ", "\n"]))
+        elif kind in ("b", "div", "blockquote") or kind == "p" and inside != "p":
+            out.append((kind, "", grow(rnd, depth + 1, "p" if kind == "p" or kind == "b" and inside == "p" else "")) if kind != "p" else ("p", "", [rnd.choice([" one", "two ", "three"])]))
+        elif kind == "br":
+            out.append(("br", "", []))
+        elif kind == "list":
+            out.append((rnd.choice(["ul", "ol"]), "", [("li", "", grow(rnd, depth + 1)) for _ in range(rnd.randint(1, 3))]))
+        elif kind == "table" and inside != "cell":
+            cell = lambda: ("td", rnd.choice(["", "", " colspan=2", " rowspan=2"]), [rnd.choice(["x", "long cell", "", "m n"])])
+            out.append(("table", "", [("tr", "", [cell() for _ in range(rnd.randint(1, 3))]) for _ in range(rnd.randint(1, 3))]))
+        elif kind == "hidden":
+            out.append(("span", " hidden", ["no"]))
+    return out
+
+
+def source(nodes):
+    return "".join(n if isinstance(n, str) else f"<{n[0]}{n[1]}>" + ("" if n[0] == "br" else source(n[2]) + f"</{n[0]}>") for n in nodes)
+
+
+def table_lines(rows):
+    """By a full grid of cells."""
+    grid, out = {}, []
+    for y, (_, _, cells) in enumerate(rows):
+        x = 0
+        for _, attributes, (text,) in cells:
+            while (y, x) in grid:
+                x += 1
+            w, h = (2 if f"{k}span" in attributes else 1 for k in ("col", "row"))
+            for dy in range(h):
+                for dx in range(w):
+                    grid.setdefault((y + dy, x + dx), (text, x, y, w))
+            x += w
+    starts = sorted({c[1] for c in grid.values()})
+    width = {x: max([min(len(c[0]), 40) for c in grid.values() if c[1] == x and sum(x <= s < x + c[3] for s in starts) == 1], default=0) for x in starts}
+    for y in range(len(rows)):
+        fields, own = [], {c[1]: c for (row, _), c in grid.items() if row == y and c[2] == y}
+        if not any(c[0] for c in own.values()):
+            continue
+        skip = -1
+        for x in [x for x in starts if x <= max(own)]:
+            if x in own:
+                text, _, _, w = own[x]
+                covered = [s for s in starts if x <= s < x + w]
+                fields.append(text.ljust(sum(width[s] for s in covered) + 3 * (len(covered) - 1)))
+                skip = x + w
+            elif x >= skip:
+                fields.append(" " * width[x])
+        out.append(" | ".join(fields).rstrip())
+    return out
+
+
+def plain(nodes):
+    lines, state = [], {"line": "", "gap": False, "mark": "", "indent": 0}
+
+    def emit(keep=False):
+        if state["line"].strip() or keep:
+            if state["gap"] and lines:
+                lines.append("")
+            lines.append("  " * state["indent"] + state["mark"] + re.sub(" +", " ", state["line"]).strip())
+            state["gap"], state["mark"] = False, ""
+        state["line"] = ""
+
+    def walk(nodes, lists):
+        for n in nodes:
+            if isinstance(n, str):
+                state["line"] += n.replace("\n", " ").replace("&lt;", "<")
+                continue
+            tag, attributes, children = n
+            if tag == "br":
+                emit(keep=True)
+            elif tag == "b":
+                walk(children, lists)
+            elif tag == "table":
+                emit()
+                made = table_lines(children)
+                state["gap"] = True
+                for line in made:
+                    state["line"] = line.replace(" ", "\0")
+                    emit()
+                    lines[-1] = lines[-1].replace("\0", " ")
+                state["gap"] = True
+            elif "hidden" not in attributes:
+                before = state["indent"]
+                apart = tag in ("p", "blockquote") or tag in ("ul", "ol") and not lists
+                emit()
+                state["gap"] = state["gap"] or apart
+                if tag in ("ul", "ol") and lists or tag == "blockquote":
+                    state["indent"] += 1
+                for k, child in enumerate(children, 1):
+                    if tag in ("ul", "ol"):
+                        emit()
+                        state["mark"] = f"{k}. " if tag == "ol" else "- "
+                        walk(child[2], [*lists, tag])
+                        emit()
+                        state["mark"] = ""
+                    else:
+                        walk([child], lists)
+                emit()
+                state["gap"], state["indent"] = state["gap"] or apart, before
+
+    walk(nodes, [])
+    emit()
+    text = "\n".join(line.rstrip() for line in lines)
+    return re.sub("\n{3,}", "\n\n", text).strip("\n")
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_pages_equal_a_recursive_layout(seed):
+    rnd = random.Random(seed)
+    for _ in range(300):
+        tree = grow(rnd)
+        assert html_text.render(source(tree)) == plain(tree), source(tree)

@@ -5,20 +5,24 @@ opens and closes elements; visibility rules skip what a browser doesn't show; th
 blocks on lines of their own, a blank line around paragraphs and headings, list items with their marks and indent, table
 rows with aligned cells, preformatted text as it is.
 
-Elements are closed as the text goes by, so memory follows the open elements and the text of the tables among them, and work
-is linear in the page. One scan, no shuffle; pages are read whole.
+Elements are closed as the text goes by, so memory follows the open elements and the text of the tables among them. Work is linear
+in the page: where a tag ends is worked out once for each quote, open elements are found by their names, and tables are aligned up
+to a width. One scan, no shuffle; pages are read whole.
 
 SVG and MathML follow the rules of foreign content: an element with a trailing slash is closed at once, an HTML tag that can't be
 there ends it. Of SVG the `text` elements, each on a line of its own, and the HTML of `foreignObject` are shown; of MathML all text
 but annotations, phantoms and later alternatives. Text that only a `use` element would draw is not followed.
 
-Defined cases: a null or empty page has an empty text. Text after an unclosed script or style is hidden, as in a browser.
-Cells are padded to their column's width up to `WIDEST`; a table within a cell is written on one line. A null id is carried through,
-equal rows give equal rows, other columns are not read.
+Defined cases: a null or empty page has an empty text. Text after an unclosed script or style is hidden, as in a browser. A quote
+without an end is an ordinary character, and a tag without an end is text. Cells stand in the columns that their `colspan` and
+`rowspan` and those of cells before them leave; they are padded to their column's width up to `WIDEST`; tables of more than `COLUMNS`
+columns are written without alignment, a table within a cell on one line. Lists deeper than `DEEPEST` aren't indented further. A
+null id is carried through, equal rows give equal rows, other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -30,8 +34,9 @@ from tidemark.llm.common import per_slice
 
 #: Columns are aligned up to this width; a longer cell sticks out.
 WIDEST = 40
+COLUMNS = 64
+DEEPEST = 32
 
-_TOKEN = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*'|["'])*)>|[^<]+|<""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -99,7 +104,7 @@ class _Frame:
             if self.gap and self.lines:
                 self.lines.append("")
             self.gap = False
-            self.lines.append("  " * self.indent + self.mark + line)
+            self.lines.append("  " * min(self.indent, DEEPEST) + self.mark + line)
             if self.mark:
                 self.mark = ""
 
@@ -109,12 +114,13 @@ class _Frame:
 
 
 class _Element:
-    __slots__ = ("tag", "hidden", "number", "rows", "frame", "pre", "indent", "mark", "own", "inner", "mute", "line")
+    __slots__ = ("tag", "hidden", "number", "rows", "frame", "pre", "indent", "mark", "own", "inner", "mute", "line", "span")
 
     def __init__(self, tag: str, hidden: bool, pre: bool):
         self.tag, self.hidden, self.pre = tag, hidden, pre
         self.number = 0
-        self.rows: list[list[str]] | None = None
+        self.rows: list[list[tuple[str, int, int]]] | None = None  # of a table: text, columns and rows of each cell
+        self.span = (1, 1)
         self.frame: _Frame | None = None
         self.indent = 0
         self.mark = ""
@@ -130,6 +136,7 @@ class Layout:
         self.frames = [self.page]
         self.open: list[_Element] = []
         self.count: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # of the open elements of a name, outermost first
 
     def _top(self) -> tuple[bool, bool]:
         return (self.open[-1].hidden, self.open[-1].pre) if self.open else (False, False)
@@ -138,14 +145,18 @@ class Layout:
         while len(self.open) > k:
             self._close(self.open.pop())
 
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _nearest(self, tags, within) -> int:
-        for k in range(len(self.open) - 1, -1, -1):
-            tag = self.open[k].tag
-            if tag in tags:
-                return k
-            if tag in within:
-                return -1
-        return -1
+        """Place of the innermost open element of these names, if none of `within` is open inside it; else -1."""
+        k = self._last(tags)
+        return k if k >= 0 and k >= self._last(within) else -1
+
+    def _push(self, e: _Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.open))
+        self.open.append(e)
+        self.count[e.tag] = self.count.get(e.tag, 0) + 1
 
     def start(self, tag: str, attributes: str) -> None:
         inner = self.open[-1].inner if self.open else ""
@@ -185,8 +196,7 @@ class Layout:
             hidden = tag in HIDDEN or bool(attributes) and self._unseen(attributes)
         e = _Element(tag, hidden, pre or tag in ("pre", "textarea"))
         e.mute = bool(self.open) and self.open[-1].mute
-        self.open.append(e)
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self._push(e)
         if hidden:
             return None
         e.indent = frame.indent
@@ -198,6 +208,7 @@ class Layout:
             if not table.rows:
                 table.rows.append([])
             e.frame = _Frame()
+            e.span = (max(1, self._number(attributes, "colspan", 1)), self._number(attributes, "rowspan", 1))
             self.frames.append(e.frame)
         elif tag in LISTS:
             e.number = self._number(attributes, "start", 1) - 1 if tag == "ol" else 0
@@ -234,8 +245,7 @@ class Layout:
             e.line = any(m[1].lower() == "display" and (m[2] or "").strip("\"'").lower() == "block" for m in _ATTRIBUTE.finditer(attributes))
         if e.line and not e.hidden:
             self.frames[-1].block(False)
-        self.open.append(e)
-        self.count[tag] = self.count.get(tag, 0) + 1
+        self._push(e)
         if self._ends_itself(attributes):
             self._close_upto(len(self.open) - 1)
 
@@ -290,6 +300,7 @@ class Layout:
 
     def _close(self, e: _Element) -> None:
         self.count[e.tag] -= 1
+        self.places[e.tag].pop()
         if e.hidden:
             return
         if e.own:
@@ -302,7 +313,7 @@ class Layout:
             table = self._table()
             cell = " ".join(filter(None, map(str.strip, e.frame.lines)))
             if table is not None:
-                table.rows[-1].append(cell)
+                table.rows[-1].append((cell, *e.span))
             return
         frame = self.frames[-1]
         if e.tag in PARAGRAPHS:
@@ -315,20 +326,15 @@ class Layout:
             frame.mark = ""
         frame.indent = e.indent
 
-    def _rows(self, frame: _Frame, rows: list[list[str]]) -> None:
-        rows = [r for r in rows if any(r)]
-        if not rows:
+    def _rows(self, frame: _Frame, rows: list[list[tuple[str, int, int]]]) -> None:
+        if not any(text for row in rows for text, _, _ in row):
             return
         if len(self.frames) > 1:  # within a cell
-            frame.text(" " + " ".join(filter(None, (c for r in rows for c in r))) + " ")
+            frame.text(" " + " ".join(text for row in rows for text, _, _ in row if text) + " ")
             return
-        widths = [0] * max(map(len, rows))
-        for row in rows:
-            for i, cell in enumerate(row):
-                widths[i] = max(widths[i], min(len(cell), WIDEST))
         frame.gap = True
-        for row in rows:
-            frame.parts.append(" | ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip())
+        for line in aligned(rows):
+            frame.parts.append(line)
             frame.flush()
         frame.gap = True
 
@@ -351,34 +357,134 @@ class Layout:
         return re.sub(r"\n{3,}", "\n\n", out).strip("\n")
 
 
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]] | None:
+    """First column, column behind and text of each cell; nothing if there are more than COLUMNS columns."""
+    out, taken = [], {}  # by column: rows, this one included, that a cell from above still covers
+    for row in rows:
+        cells, at = [], 0
+        for text, columns, height in row:
+            while taken.get(at, 0) > 0:
+                at += 1
+            if at + columns > COLUMNS:
+                return None
+            cells.append((at, at + columns, text))
+            for c in range(at, at + columns):
+                taken[c] = max(taken.get(c, 0), height if height > 0 else 1 << 20)
+            at += columns
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """The lines of a table: cells side by side under those of their column, empty rows left out."""
+    placed = _placed(rows)
+    if placed is None:
+        return [" | ".join(text for text, _, _ in row).rstrip() for row in rows if any(text for text, _, _ in row)]
+    used = sorted({first for row in placed for first, _, _ in row})  # columns where no cell begins take no room
+    index = {c: k for k, c in enumerate(used)}
+    widths = [0] * len(used)
+    lines = []
+    for row in placed:
+        for k, (first, behind, text) in enumerate(row):
+            last = bisect.bisect_left(used, behind)
+            row[k] = (index[first], last, text)
+            if last - index[first] == 1:
+                widths[index[first]] = max(widths[index[first]], min(len(text), WIDEST))
+    for row in placed:
+        if any(text for _, _, text in row):
+            fields, at = [], 0
+            for first, behind, text in row:
+                fields += [" " * w for w in widths[at:first]]
+                fields.append(text.ljust(sum(widths[first:behind]) + 3 * (behind - first - 1)))
+                at = behind
+            lines.append(" | ".join(fields).rstrip())
+    return lines
+
+
+class _Next:
+    """Where a character of a class comes next; a position between the last question and its answer costs nothing."""
+
+    def __init__(self, pattern: str, page: str):
+        self.search, self.page, self.low, self.high = re.compile(pattern).search, page, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.low <= at <= self.high:
+            m = self.search(self.page, at)
+            self.low, self.high = at, m.start() if m else len(self.page)
+        return self.high
+
+
+class _Tags:
+    """Where tags end: at the first > outside quotes. What follows a quote is worked out once."""
+
+    def __init__(self, page: str):
+        self.page, self.special, self.name = page, _Next("[>\"']", page), _Next(r"[\s/>]", page)
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.known: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin at `at`, or -1."""
+        path, page = [], self.page
+        while True:
+            k = self.special(at)
+            if k in self.known:
+                found = self.known[k]
+                break
+            if k == len(page) or page[k] == ">":
+                found = k if k < len(page) else -1
+                break
+            path.append(k)
+            at = page.find(page[k], k + 1) + 1 if k < self.last[page[k]] else k + 1
+        self.known.update(dict.fromkeys(path, found))
+        return found
+
+
 _RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+_TAG = re.compile("<(/?)[a-zA-Z]")
 
 
 def render(page: str | None) -> str:
     """All visible text of a page."""
     page = page or ""
-    layout, at, match = Layout(), 0, _TOKEN.match
-    while at < len(page):
-        m = match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                layout.text(token)
-            elif token.startswith("<![CDATA[") and layout.open and layout.open[-1].own:
-                stop = page.find("]]>", m.start() + 9)
-                layout.text(page[m.start() + 9 : stop if stop >= 0 else len(page)], literal=True)
-                at = stop + 3 if stop >= 0 else len(page)
+    layout, tags, at, size = Layout(), _Tags(page), 0, len(page)
+
+    def find(what: str, begin: int) -> int:
+        k = page.find(what, begin)
+        return size if k < 0 else k
+
+    while at < size:
+        if page[at] != "<":
+            stop = find("<", at)
+            layout.text(page[at:stop])
+            at = stop
+            continue
+        if page.startswith("<![CDATA[", at) and layout.open and layout.open[-1].own:
+            stop = find("]]>", at + 9)
+            layout.text(page[at + 9 : stop], literal=True)
+            at = stop + 3
+            continue
+        if page.startswith("<!--", at):
+            at = find("-->", at + 4) + 3
+            continue
+        if page.startswith(("<!", "<?"), at):
+            at = find(">", at + 2) + 1
+            continue
+        m = _TAG.match(page, at)
+        behind = tags.name(m.end()) if m else 0
+        stop = tags.end(behind) if m else -1
+        if stop < 0:
+            layout.text("<")
+            at += 1
             continue
-        tag = tag.lower()
+        tag, at = page[m.end() - 1 : behind].lower(), stop + 1
         if m[1]:
             layout.end(tag)
             continue
-        layout.start(tag, m[3])
+        layout.start(tag, page[behind:stop])
         if tag in RAW and not layout.open[-1].own:
             close = _RAW_END[tag].search(page, at)
-            stop = close.start() if close else len(page)
+            stop = close.start() if close else size
             if tag == "textarea":
                 layout.text(page[at:stop])
             at = stop
