@@ -7,7 +7,7 @@ similarity. All of them are banded; documents that share a band are candidates;
 Plan, for inputs of any size:
 
 1. One scan makes each document's set digest, band keys and a one-bit sketch. Equal sets form a class, which gets a key of its
-   own when the classes are written; from here on only classes take part, by their keys, so exact copies cost one partial
+   own, in the order of the smallest ids, when the classes are written; from here on only classes take part, by their keys, so exact copies cost one partial
    aggregation and ids may repeat or be null.
 2. Band rows meet in one aggregation by band that finds each bucket's hub (its smallest key) and one join back. No pairs
    within a bucket are made.
@@ -247,7 +247,9 @@ def judged(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 24, r
     sig = scratch.put(signatures(docs, k, bands, rows), "signatures")
 
     first = sig.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x", "n", "bands", "s0", "s1")).alias("r"))
-    reps = scratch.put(first.select(F.monotonically_increasing_id().alias("key"), "digest", "r.*"), "representatives")  # keys hold once written
+    order = ("none", "id", "digest")  # keys in the order of ids: a hub is then the oldest of its bucket, which its copies are most like
+    first = first.select("digest", "r.*").repartitionByRange(*order).sortWithinPartitions(*order)
+    reps = scratch.put(first.select(F.monotonically_increasing_id().alias("key"), "*"), "representatives")  # keys hold once written
     band_rows = reps.select("key", F.explode("bands").alias("band"))
     buckets = band_rows.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub < last").select("band", "hub")
     hits = scratch.put(band_rows.join(buckets, "band").select("band", "key", "hub"), "buckets")
