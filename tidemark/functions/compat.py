@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +14,9 @@ def _c(x) -> Column:
 
 
 def trunc(x: Column, digits: int = 0) -> Column:
-    """Toward zero, to a number of decimal digits."""
+    """Toward zero, to a number of decimal digits. Doubles too large to have such digits stay as they are."""
     scale = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+    return F.when(F.abs(x) >= 2.0**53 / scale, x).otherwise(F.signum(x) * F.floor(F.abs(x) * scale) / scale)
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -29,20 +27,13 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
-    return F.when((_c(a) == 0) | (_c(b) == 0), F.lit(0).cast("long")).otherwise((F.abs(_c(a)) / gcd(a, b)).cast("long") * F.abs(_c(b)).cast("long"))
-
-
-def log(base: float, x: Column) -> Column:
-    return F.log(float(base), x)
-
-
-def nanvl(x: Column, y: Column) -> Column:
-    return F.nanvl(x, y)
+    """Least common multiple of whole numbers; an error if it takes more than 64 bits."""
+    return F.when((_c(a) == 0) | (_c(b) == 0), F.lit(0).cast("long")).otherwise(integer_divide(F.abs(_c(a)).cast("long"), gcd(a, b)) * F.abs(_c(b)).cast("long"))
 
 
 def integer_divide(a: Column, b: Column) -> Column:
     """Whole-number division toward zero; null for a zero divisor."""
-    return F.when(_c(b) != 0, F.floor(F.abs(_c(a)) / F.abs(F.nullif(_c(b), F.lit(0)))) * F.signum(_c(a)) * F.signum(_c(b))).cast("long")
+    return F.call_function("div", _c(a).cast("long"), F.nullif(_c(b).cast("long"), F.lit(0).cast("long")))
 
 
 # --- strings -----------------------------------------------------------------------------------------------
@@ -61,18 +52,6 @@ def to_hex(x: Column) -> Column:
     return F.lower(F.hex(x))
 
 
-def starts_with(text: Column, part: str) -> Column:
-    return F.startswith(text, F.lit(part))
-
-
-def ends_with(text: Column, part: str) -> Column:
-    return F.endswith(text, F.lit(part))
-
-
-def substr_index(text: Column, mark: str, n: int) -> Column:
-    return F.substring_index(text, mark, n)
-
-
 def regexp_replace_first(text: Column, pattern: str, by: str) -> Column:
     """Replaces the first match only."""
     at = F.regexp_instr(text, F.lit(pattern))
@@ -119,7 +98,13 @@ def date_bin(seconds: int, ts: Column, origin: int = 0) -> Column:
 
 
 def to_unixtime(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("long")
+    """Whole seconds since 1970, rounded down."""
+    micros, second = F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000).cast("long")
+    return F.call_function("div", micros - F.pmod(micros, second), second)
+
+
+def from_unixtime(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
 # --- arrays ------------------------------------------------------------------------------------------------
@@ -140,9 +125,24 @@ def array_has_any(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b)
 
 
-def array_to_string(a: Column, mark: str) -> Column:
-    return F.array_join(a, mark)
+# --- types -------------------------------------------------------------------------------------------------
+
+# Arrow's names of types and Spark's.
+ARROW = {"Boolean": "boolean", "Int8": "tinyint", "Int16": "smallint", "Int32": "int", "Int64": "bigint", "Float32": "float", "Float64": "double", "Utf8": "string", "Binary": "binary", "Date32": "date", "Timestamp(Microsecond, None)": "timestamp_ntz"}
+
+
+def arrow_cast(x: Column, name: str) -> Column:
+    """A cast to a type by its Arrow name."""
+    import re
+
+    decimal = re.fullmatch(r"Decimal128\((\d+), (\d+)\)", name)
+    if not decimal and name not in ARROW:
+        raise ValueError(f"no Arrow type {name}")
+    return x.cast(f"decimal({decimal[1]},{decimal[2]})" if decimal else ARROW[name])
 
 
-def greatest(*columns: Column) -> Column:
-    return reduce(lambda a, b: F.greatest(a, b), columns)
+def arrow_typeof(x: Column) -> Column:
+    """The Arrow name of a value's type; Spark's own where that has none here."""
+    kind, names = F.typeof(x), F.create_map(*(F.lit(t) for name, spark in ARROW.items() for t in (spark, name)))
+    decimal = F.regexp_replace(kind, r"^decimal\((\d+),(\d+)\)$", "Decimal128($1, $2)")
+    return F.coalesce(F.try_element_at(names, kind), decimal)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROOTS: list[str] = []
+
+
+def scratch_root(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder of the cluster (spark.checkpoint.dir); in a temporary one only on a single machine
+    where that is unset. It goes when the driver's process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tidemark-scratch")
+    _ROOTS.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _ROOTS[-1]
+
+
+@atexit.register
+def _delete_roots() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for root in _ROOTS:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Runs SQL over the tables of a folder that it names."""
     for name in TABLES:

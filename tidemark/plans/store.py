@@ -5,14 +5,10 @@ Each builds a small catalog in the scratch folder, loads events in three commits
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import merge
-from tidemark.plans.registry import query, table
+from tidemark.plans.registry import query, scratch_root, table
 from tidemark.plans.versioned import _EVENTS, _resolved, events_log
 from tidemark.sources.engine import BadTransaction, Engine, Exists
 from tidemark.sources.session import Session, Unsupported
@@ -23,8 +19,7 @@ _COLUMNS = [("user_id", "int64"), ("event_type", "utf8"), ("value", "float64")]
 
 
 def _root(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return scratch_root(spark, "store")
 
 
 def _engine(spark, **options) -> Engine:
@@ -113,6 +108,35 @@ def paged_listing(spark, sf_dir):
     return e.list_objects("c", "table", limit=2, offset=2).select("name")
 
 
+@query("S14_page_tokens", "SELECT * FROM (VALUES (1, 't0'), (1, 't1'), (2, 't2'), (2, 't3'), (3, 't4')) t(page, name)")
+def page_tokens(spark, sf_dir):
+    """Pages by opaque tokens; a table made in between isn't in a listing that began before."""
+    e, out = Engine(spark, _root(spark)), []
+    e.create_catalog("c")
+    tx = e.begin("c")
+    e.create_schema("c", "s", tx=tx)
+    for i in range(5):
+        e.create_table("c", "s", f"t{i}", [("k", "int64")], ["k"], tx=tx)
+    e.commit("c", tx)
+    token, page = None, 0
+    while token or not page:
+        page += 1
+        rows, token = e.list_page("c", "table", 2, token)
+        out += [(page, r["name"]) for r in rows]
+        if page == 1:
+            e.create_table("c", "s", "t1a", [("k", "int64")], ["k"])
+    return spark.createDataFrame(out, "page int, name string")
+
+
+@query("S12_stored_count", f"SELECT 'hot' AS state, count(*) AS n FROM ({_STATE}) t UNION ALL SELECT 'before', count(*) FROM ({_resolved(_EVENTS, 'commit_seq_num < 800', columns='user_id')}) t")
+def stored_count(spark, sf_dir):
+    """COUNT(*) of a table in the hot tier, now and as of a commit, from keys alone."""
+    e = _engine(spark)
+    _load(e, spark, sf_dir)
+    last = e.max_commit_seq("c")
+    return spark.createDataFrame([("hot", e.count_data("c", "app", "ev")), ("before", e.count_data("c", "app", "ev", as_of_seq=last - 1))], "state string, n long")
+
+
 @query("S18_metadata", "SELECT * FROM (VALUES ('c', 'app', 'ev', 'TABLE')) t(catalog_name, db_schema_name, table_name, table_type)")
 def metadata(spark, sf_dir):
     return Session(_engine(spark), "c", schema="app").tables()
@@ -360,6 +384,111 @@ def partitioned_snapshot(spark, sf_dir):
     return e.read_data("c", "app", "cust").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
+def _counts(e: Engine) -> dict[str, int]:
+    state = e._open("c")
+    tiers = [x["tier"] for x in state["segments"]]
+    return {"hot": tiers.count("hot"), "cold": tiers.count("cold"), "snapshots": len(state["snapshots"]), "retired": len(state["retired"]), "transactions": len(state["txs"])}
+
+
+def _steps(spark, e: Engine, steps):
+    """What each step returns, and the counts behind it, as rows."""
+    out = []
+    for name, work in steps:
+        done = work()
+        out.append((name, done, *_counts(e).values()))
+    return spark.createDataFrame(out, "step string, done int, hot int, cold int, snapshots int, retired int, transactions int")
+
+
+_COLUMNS_OF_STEPS = "t(step, done, hot, cold, snapshots, retired, transactions)"
+
+
+@query("L2_persist_tx_log", "SELECT * FROM (VALUES (2::BIGINT, 'first', 'ann'), (3, 'second', NULL), (4, NULL, 'bob')) t(seq, comment, author)")
+def persist_tx_log(spark, sf_dir):
+    """The commits whose rows were persisted, as the cold commit log has them."""
+    e = _engine(spark)
+    for i, (comment, author) in enumerate((("first", "ann"), ("second", None), (None, "bob"))):
+        tx = e.begin("c")
+        e.write_data("c", "app", "ev", upserts=spark.createDataFrame([(i, "x", 1.0)], "user_id long, event_type string, value double"), tx=tx)
+        e.commit("c", tx, comment=comment, author=author)
+        e.persist_branch("c")
+    log = spark.read.parquet(*[x["path"] for x in e._open("c")["tx_log"]])
+    return log.select(F.col(merge.SEQ).alias("seq"), "comment", "author")
+
+
+@query("L4_carry_forward", "SELECT CAST(count(DISTINCT c_nationkey) AS INT) AS parts, CAST(count(DISTINCT c_nationkey) - 1 AS INT) AS carried, CAST(1 AS INT) AS written FROM customer")
+def carry_forward(spark, sf_dir):
+    """A change of one partition: the next snapshot names the files of all others as they are, and new ones for that one."""
+    e = Engine(spark, _root(spark))
+    e.create_catalog("c")
+    e.create_schema("c", "app")
+    e.create_table("c", "app", "cust", [("c_nationkey", "int32"), ("c_custkey", "int64"), ("c_acctbal", "float64")], ["c_nationkey", "c_custkey"], partition_keys=["c_nationkey"])
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    e.write_data("c", "app", "cust", upserts=rows)
+    e.persist_and_snapshot_branch("c")
+    e.write_data("c", "app", "cust", deletes=rows.filter("c_nationkey = 3").orderBy("c_custkey").limit(1).select("c_nationkey", "c_custkey"))
+    e.persist_and_snapshot_branch("c")
+    before, after = ({p["path"] for p in s["parts"]} for s in e._open("c")["snapshots"])
+    return spark.createDataFrame([(len(after), len(after & before), len(after - before))], "parts int, carried int, written int")
+
+
+@query("L6_compact", f"SELECT * FROM (VALUES ('persisted', 0, 6, 6, 0, 0, 5), ('compacted', 6, 6, 2, 0, 6, 5)) {_COLUMNS_OF_STEPS}")
+def compact(spark, sf_dir):
+    """Six log segments, of deletes and upserts of three commits, become one of each kind."""
+    e = _engine(spark)
+    for span in ((0, 400), (400, 800), (800, 10**12)):
+        _load(e, spark, sf_dir, (span,))
+        e.persist("c", _key(e))
+    return _steps(spark, e, (("persisted", lambda: 0), ("compacted", lambda: e.compact("c", _key(e)))))
+
+
+@query("L7_purge", f"SELECT * FROM (VALUES ('persisted', 1, 6, 2, 0, 0, 5), ('purged early', 0, 6, 2, 0, 0, 5), ('snapshotted', 1, 6, 2, 1, 0, 5), ('purged', 6, 0, 2, 1, 6, 5)) {_COLUMNS_OF_STEPS}")
+def purge(spark, sf_dir):
+    """Hot files go once a stored snapshot covers them, and not before."""
+    e = _engine(spark)
+    _load(e, spark, sf_dir)
+    purged = lambda: e.purge("c", _key(e))
+    return _steps(spark, e, (("persisted", lambda: e.persist_branch("c")), ("purged early", purged), ("snapshotted", lambda: e.snapshot_branch("c")), ("purged", purged)))
+
+
+@query("L8_purge_tx_log", f"SELECT * FROM (VALUES ('open', 0, 6, 0, 0, 0, 6), ('aborted', 1, 6, 0, 0, 0, 5), ('purged', 6, 0, 2, 1, 6, 5), ('transactions', 3, 0, 2, 1, 6, 2)) {_COLUMNS_OF_STEPS}")
+def purge_tx_log(spark, sf_dir):
+    """Transactions without effect go at once, those with rows when these are persisted and their hot files gone; definitions keep theirs."""
+    e = _engine(spark)
+    _load(e, spark, sf_dir)
+    tx = e.begin("c")
+
+    def aborted():
+        e.abort("c", tx)
+        return e.purge_tx_log("c")
+
+    def purged():
+        e.persist_and_snapshot_branch("c")
+        return e.purge("c", _key(e))
+
+    return _steps(spark, e, (("open", lambda: 0), ("aborted", aborted), ("purged", purged), ("transactions", lambda: e.purge_tx_log("c"))))
+
+
+@query("L9_retire_and_sweep", f"SELECT * FROM (VALUES ('snapshotted', 3, 0, 6, 3, 6, 5), ('retired', 1, 0, 6, 2, 7, 5), ('within grace', 0, 0, 6, 2, 7, 5), ('swept', 7, 0, 6, 2, 0, 5)) {_COLUMNS_OF_STEPS}")
+def retire_and_sweep(spark, sf_dir):
+    """Of three snapshots within an hour the first is a rung and the last is the newest; the one between is retired, and its files are deleted."""
+    e = _engine(spark, snapshot_density_seconds=3600)
+    for span in ((0, 400), (400, 800), (800, 10**12)):
+        _load(e, spark, sf_dir, (span,))
+        e.persist_and_snapshot_branch("c")
+        e.purge("c", _key(e))
+    return _steps(spark, e, (("snapshotted", lambda: 3), ("retired", lambda: e.retire_snapshots("c", _key(e))), ("within grace", lambda: e.sweep("c", grace_seconds=3600)), ("swept", lambda: e.sweep("c"))))
+
+
+@query("L11_tick_report", "SELECT * FROM (VALUES ('compacted', 0, 0, 6), ('persisted', 1, 1, 1), ('purged', 2, 2, 2), ('retired', 0, 0, 1), ('snapshotted', 1, 1, 1), ('swept', 2, 2, 9), ('transactions', 1, 1, 1)) t(what, first, second, third)")
+def tick_report(spark, sf_dir):
+    """What three rounds of the scheduler do, each behind a commit, with compaction from three segments on."""
+    e, rounds = _engine(spark, snapshot_density_seconds=3600), []
+    for span in ((0, 400), (400, 800), (800, 10**12)):
+        _load(e, spark, sf_dir, (span,))
+        rounds.append(e.tick("c", most_segments=2))
+    return spark.createDataFrame([(what, *(r[what] for r in rounds)) for what in sorted(rounds[0])], "what string, first int, second int, third int")
+
+
 @query("L5_durable_rungs", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, TRUE)) t(ask, durable)")
 def durable_rungs(spark, sf_dir):
     asks = ((None, 100, 60), (0, 59_999_999, 60), (0, 60_000_000, 60), (5, 6, None))
@@ -370,7 +499,7 @@ def durable_rungs(spark, sf_dir):
 def branch_wide(spark, sf_dir):
     e = _engine(spark)
     e.create_table("c", "app", "more", [("k", "int64")], ["k"])
-    _load(e, spark, sf_dir, ((0, 400),))
+    _load(e, spark, sf_dir, ((0, 10**12),))
     e.write_data("c", "app", "more", upserts=spark.range(5).toDF("k"))
     persisted, snapshotted = e.persist_and_snapshot_branch("c")
     return spark.createDataFrame([(persisted, snapshotted, len(e.list_modified_tables("c")))], "persisted int, snapshotted int, modified_after int")

@@ -1,12 +1,22 @@
-"""Files of the store through Hadoop's file systems, and versioned manifests with atomic commits."""
+"""Files of the store through Hadoop's file systems, and versioned manifests with exclusive commits.
+
+A commit creates the manifest of the next number, and of two writers only one may succeed. That is so where a rename never replaces a
+file (RENAME), where a file is created on a condition (CREATE), and on a local file system, by a hard link. Other stores check and then
+write, which a second writer can slip between; they are refused.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+# Schemes of file systems by what they do in one step.
+RENAME = frozenset(("hdfs", "webhdfs", "swebhdfs", "abfs", "abfss", "ofs", "o3fs"))
+CREATE = frozenset(("gs",))
+
 
 class Conflict(RuntimeError):
     """Another writer has committed first."""
@@ -37,17 +47,43 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> None:
-        """Writes a file whole under its name, or raises Conflict if it exists."""
-        at, part = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.part")
-        stream = self.fs.create(part, False)
+    def _write(self, at, text: str) -> None:
+        stream = self.fs.create(at, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.fs.exists(at) or not self.fs.rename(part, at):
+
+    def create(self, path: str, text: str) -> None:
+        """Writes a file whole under its name, or raises Conflict if it exists; of several writers one succeeds."""
+        at = self.fs.makeQualified(self._path(path))
+        scheme = at.toUri().getScheme()
+        part = self._path(f"{path}.{uuid.uuid4().hex}.part")
+        if scheme in CREATE:
+            try:
+                return self._write(at, text)
+            except Py4JJavaError as e:
+                if "AlreadyExists" in e.java_exception.getClass().getName():
+                    raise Conflict(path) from None
+                raise
+        if scheme not in RENAME and scheme != "file":
+            raise ValueError(f"commits aren't exclusive on {scheme}://; use one of {sorted(RENAME | CREATE | {'file'})}")
+        self._write(part, text)
+        try:
+            if scheme == "file":
+                paths = self.jvm.java.nio.file.Paths
+                self.jvm.java.nio.file.Files.createLink(paths.get(at.toUri()), paths.get(self.fs.makeQualified(part).toUri()))
+            elif not self.fs.rename(part, at):
+                raise Conflict(path)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(path) from None
+            raise
+        finally:
             self.fs.delete(part, False)
-            raise Conflict(path)
+
+    def size(self, path: str) -> int:
+        return self.fs.getContentSummary(self._path(path)).getLength()
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
