@@ -31,7 +31,7 @@ import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -367,13 +367,17 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return packed.mapInArrow(run, _RECORD).union(plain.mapInArrow(run, _RECORD))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 0, source: DataFrame | None = None) -> DataFrame:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes: int = 0, source: DataFrame | None = None, once_read: Callable[[], None] = lambda: None) -> DataFrame:
     """Converts a folder of ARC archives to WARC; returns the problems met: file, record, problem.
 
-    Of HTTP records with equal payloads of at least least_bytes, one is the response and the others revisit it.
+    Of HTTP records with equal payloads of at least least_bytes, one is the response and the others revisit it. once_read is called
+    when the ARC archives are needed no more.
     """
     scratch = Scratch(spark, "warc", source)
     found = scratch.put(records(spark, arc_path), "records")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(arc_path).select(F.xxhash64("_metadata.file_path").alias("id"), F.col("path").alias("name"))
+    problems = scratch.put(found.filter("problem is not null").join(names, F.col("file") == F.col("id"), "left").select(F.col("name").alias("file"), F.col("ordinal").alias("record"), "problem"), "problems")
+    once_read()
     order = (F.col("page").isNull().alias("none"), "page", "date", "url", "file", "ordinal", "record_id")
     same = found.filter((F.col("kind") == "response") & (F.col("size") >= least_bytes))
     firsts = same.groupBy("digest", "size").agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("c")).filter("c > 1").select("digest", "size", "f")
@@ -389,8 +393,6 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_bytes:
 
     whole = found.filter("member is not null").select("file", "ordinal", "member").join(again.select("file", "ordinal"), ["file", "ordinal"], "left_anti")
     _write_members(whole.select("member").union(again.mapInArrow(revisit, "member binary")), warc_path, "converted", ".warc.gz")
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(arc_path).select(F.xxhash64("_metadata.file_path").alias("id"), F.col("path").alias("name"))
-    problems = scratch.put(found.filter("problem is not null").join(names, F.col("file") == F.col("id"), "left").select(F.col("name").alias("file"), F.col("ordinal").alias("record"), "problem"), "problems")
     scratch.keep("problems")
     return problems
 
@@ -438,8 +440,7 @@ def write(pages: DataFrame, path: str, **options) -> None:
     least = options.pop("least_bytes", 0)
     scratch = Scratch(pages.sparkSession, "arc")
     to_arc(pages, scratch.path("pages"), **options)
-    problem = convert(pages.sparkSession, scratch.path("pages"), path, least_bytes=least, source=pages).first()
-    scratch.drop("pages")
+    problem = convert(pages.sparkSession, scratch.path("pages"), path, least_bytes=least, source=pages, once_read=lambda: scratch.drop("pages")).first()
     if problem:
         raise ValueError(f"{problem['file']}, record {problem['record']}: {problem['problem']}")
 
