@@ -62,10 +62,10 @@ def right_outer(spark, sf_dir):
     return o.join(c, o.o_custkey == c.c_custkey, "right").select("o_orderkey", "c_custkey")
 
 
-@query("J3_full_outer", "SELECT c_custkey, p_partkey FROM customer FULL JOIN part ON c_custkey + 20 = p_partkey")
+@query("J3_full_outer", "SELECT c_custkey, p_partkey FROM customer FULL JOIN part ON c_custkey * 2 = p_partkey")
 def full_outer(spark, sf_dir):
     c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
-    return c.join(p, c.c_custkey + 20 == p.p_partkey, "full").select("c_custkey", "p_partkey")
+    return c.join(p, c.c_custkey * 2 == p.p_partkey, "full").select("c_custkey", "p_partkey")
 
 
 @query("J4_left_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
