@@ -25,6 +25,9 @@ CASES = {
     "<select><option>a<option>b</select>": "a\nb",
     "<textarea><b>raw</b></textarea>": "<b>raw</b>",
     "<script>never closed <p>no": "",
+    "<dialog>no</dialog>a<dialog id=d open>yes</dialog><dialog title='open'>no</dialog>": "a\nyes",
+    "<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp>字<rp>(<rt>ji<rp>)</ruby> x": "漢kan字ji x",
+    "<noembed><p>no</noembed>a<details><summary>s</summary>d</details>": "a\ns\nd",
     "": "",
 }
 

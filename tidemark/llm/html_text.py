@@ -13,7 +13,8 @@ SVG and MathML follow the rules of foreign content: an element with a trailing s
 there ends it. Of SVG the `text` elements, each on a line of its own, and the HTML of `foreignObject` are shown; of MathML all text
 but annotations, phantoms and later alternatives. Text that only a `use` element would draw is not followed.
 
-Defined cases: a null or empty page has an empty text. Text after an unclosed script or style is hidden, as in a browser. A quote
+Defined cases: a null or empty page has an empty text. Text after an unclosed script or style is hidden, as in a browser, and
+so is a dialog that isn't open; what a click on the page itself unfolds (closed details, the options of a select) counts as visible. A quote
 without an end is an ordinary character, and a tag without an end is text. Cells stand in the columns that their `colspan` and
 `rowspan` and those of cells before them leave; they are padded to their column's width up to `WIDEST`; tables of more than `COLUMNS`
 columns are written without alignment, a table within a cell on one line. Lists deeper than `DEEPEST` aren't indented further. A
@@ -43,8 +44,8 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 
 # Kinds of elements as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes".split())
-RAW = frozenset("script style textarea title noscript iframe noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes noembed rp".split())
+RAW = frozenset("script style textarea title noscript iframe noframes noembed".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure fieldset hr".split())
 LINES = frozenset("html body div section article aside nav header footer main address form li dt dd tr caption legend details summary figcaption option optgroup center search hgroup dialog".split())
 LISTS = frozenset(("ul", "ol", "menu"))
@@ -54,7 +55,7 @@ CLOSES = {
     "li": (("li",), LISTS), "dt": (("dt", "dd"), frozenset(("dl",))), "dd": (("dt", "dd"), frozenset(("dl",))),
     "td": (("td", "th"), frozenset(("tr", "table"))), "th": (("td", "th"), frozenset(("tr", "table"))), "tr": (("tr",), frozenset(("table",))),
     "thead": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))), "tbody": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))), "tfoot": (("thead", "tbody", "tfoot", "caption"), frozenset(("table",))),
-    "option": (("option",), frozenset(("select",))), "optgroup": (("option", "optgroup"), frozenset(("select",))), "body": (("head",), frozenset(("html",))),
+    "option": (("option",), frozenset(("select",))), "optgroup": (("option", "optgroup"), frozenset(("select",))), "rt": (("rt", "rp"), frozenset(("ruby",))), "rp": (("rt", "rp"), frozenset(("ruby",))), "body": (("head",), frozenset(("html",))),
 }
 #: By the language of foreign content: elements that aren't shown, and those that hold HTML again.
 UNSHOWN = {
@@ -193,7 +194,7 @@ class Layout:
                 frame.gap = True
             return None
         if not hidden:
-            hidden = tag in HIDDEN or bool(attributes) and self._unseen(attributes)
+            hidden = tag in HIDDEN or bool(attributes) and self._unseen(attributes) or tag == "dialog" and not any(m[1].lower() == "open" for m in _ATTRIBUTE.finditer(attributes))
         e = _Element(tag, hidden, pre or tag in ("pre", "textarea"))
         e.mute = bool(self.open) and self.open[-1].mute
         self._push(e)
