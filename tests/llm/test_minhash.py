@@ -110,6 +110,37 @@ def test_a_crowd_of_unlike_members_makes_few_pairs(spark, monkeypatch):
     assert len(seen) == 3 and seen[-1] < n * n // 2 // 50, seen
 
 
+def around(rnd, base, near, far, popular):
+    """Copies of a text: near ones with 1 to 4 edits of their own, far ones with 4 and one that some others have too, few with popular ones only."""
+    places = [3 + 7 * i for i in range(popular)]
+    others = [i for i in range(len(base)) if all(abs(i - p) > 3 for p in places)]
+    out, fresh = [" ".join(base)], iter(range(10**9))
+
+    def copy(own, shared):
+        words = list(base)
+        for at in rnd.sample(others, own):
+            words[at] = f"own{next(fresh)}"
+        for p in shared:
+            words[places[p]] = f"popular{p}"
+        return " ".join(words)
+
+    out += [copy(rnd.randint(1, 4), []) for _ in range(near)] + [copy(4, [i % popular]) for i in range(far)]
+    return out + [copy(0, rnd.sample(range(popular), rnd.randint(5, 8))) for _ in range(popular)]
+
+
+def test_copies_around_one_text_make_few_pairs(spark, monkeypatch):
+    """Copies just too far from all others are not held against each copy that shares a band with them."""
+    rnd = random.Random(4)
+    texts = around(rnd, [f"w{i}" for i in range(170)], 250, 360, 16)
+    seen, real = [], minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    got = near_duplicates(docs(spark, texts), k=3, percent=85).collect()
+    want, _ = components(list(enumerate(texts)), 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sum(i == c for i, c in want.items()) > 200
+    assert len(seen) == 3 and seen[-1] < 20 * len(texts), seen
+
+
 def test_awkward_rows(spark):
     got = near_duplicates(awkward(spark), k=3, percent=85).collect()
     assert len(got) == 13

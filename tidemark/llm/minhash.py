@@ -18,6 +18,9 @@ Plan, for inputs of any size:
    is left, mostly edited copies a little too far from the rest, is settled by rare items: similar sets share one in
    their prefixes, or none at all, and of n items of which r are rare they then share n - r at most. Those that could still be
    similar, made of items that many share, meet in finer bands of `FINE` values, which sets well below the threshold seldom share.
+   Copies around one text still share many of those. So a member outside a band's largest component is held only against sets
+   that can share enough with it: either those of its bands, or, if they are fewer, the owners of one of its least common items,
+   since of two sets that are to share s of the c common items of one, the other owns one of any c - s + 1 of them.
 
 A hub with very many partners is split: its pairs go to as many parts as their count asks for, and its set to each part once.
 
@@ -225,18 +228,45 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels.select("id", "label")
 
 
-def _fallback(members: DataFrame, own: DataFrame, sets: DataFrame, close, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, u, v) of members that can be similar though they share no rare item: they share a finer band instead."""
-    common = members.join(own, "key", "left").withColumn("c", F.col("n") - F.coalesce("r", F.lit(0))).filter(100 * F.col("c") >= percent * F.col("n")).drop("r")
+def _fallback(members: DataFrame, own: DataFrame, rare: DataFrame, items: DataFrame, sets: DataFrame, close, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, u, v) of members that can be similar though they share no rare item.
+
+    They share a finer band instead. In a band the members of all components but its largest look for partners, each by the cheaper of
+    two ways: through its bands, or through the common items that it must share one of.
+    """
+    reach = lambda c, n, other: 100 * c >= percent * (n + other - c)  # noqa: E731  sets of n and other items that share c at most
+    common = members.join(own, "key", "left").withColumn("c", F.col("n") - F.coalesce(F.col("r"), F.lit(0))).filter(100 * F.col("c") >= percent * F.col("n")).drop("r")
     common = scratch.put(common, "common")
     bands = scratch.put(fine_bands(sets.join(common.select("key"), "key", "left_semi"), percent).distinct(), "fine-bands")
-    common = bands.join(common, "key")
-    counts = common.groupBy("band", "label").agg(F.count("*").alias("m"))
-    main = counts.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("band", F.col("main.label").alias("main"))
-    met = scratch.put(common.join(main, "band"), "met")
+    met = bands.join(common, "key")
+    counts = met.groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    main = counts.groupBy("band").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("size"), F.min("least").alias("least"))
+    main = main.filter("labels > 1").select("band", F.col("main.label").alias("main"), "size", "least")
+    met = scratch.put(met.join(main, "band").filter(reach(F.col("c"), F.col("n"), F.col("least"))), "met")
+    off = met.filter("label <> main")
     most = F.least("x.c", "y.c")
-    bound = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
-    return met.filter("label <> main").alias("x").join(met.alias("y"), (F.col("x.band") == F.col("y.band")) & close & bound).select(*_pair()).distinct()
+    fits = close & reach(most, F.col("x.n"), F.col("y.n"))
+
+    # A seeker's common items, those of fewest owners first: if the first one that it shares stands at a place, it shares `rest` at
+    # most, which is enough for partners of `low` to `high` items.
+    seekers = off.groupBy("key", "n", "s0", "s1", "label", "c").agg(F.sum("size").alias("cost"), F.min("least").alias("least"))
+    held = items.join(common.select("key", "n", "s0", "s1", "label", "c"), "key")
+    owners = scratch.put(held.groupBy("item", F.col("n").alias("size")).agg(F.count("*").alias("m")), "owners")
+    listed = items.join(seekers, "key").join(rare.select("key", "item"), ["key", "item"], "left_anti").join(owners.groupBy("item").agg(F.sum("m").alias("owned")), "item")
+    listed = listed.withColumn("rest", F.col("c") - F.row_number().over(Window.partitionBy("key").orderBy("owned", "item")) + 1)
+    listed = listed.withColumn("low", F.greatest("least", F.ceil(F.col("n") * percent / 100))).filter(reach(F.col("rest"), F.col("n"), F.col("low")))
+    listed = scratch.put(listed.withColumn("high", F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")).drop("least"), "listed")
+    lengths = F.sum(F.least("owned", F.col("high") - F.col("low") + 1))
+    brief = listed.groupBy("key").agg(lengths.alias("spots"), F.first("cost").alias("cost")).select("key", (F.col("spots") < F.col("cost")).alias("brief"))
+    spots = listed.join(brief.filter("brief").select("key"), "key", "left_semi").join(owners, "item").filter("size between low and high")
+    spots = scratch.put(spots.select("key", "n", "s0", "s1", "label", "c", "cost", "item", "size", "m"), "spots")
+    dear = spots.groupBy("key").agg(F.sum("m").alias("m"), F.first("cost").alias("cost")).filter("m >= cost").select("key")
+    through = scratch.put(brief.filter("not brief").select("key").union(dear), "through-bands")
+
+    by_band = off.join(through, "key", "left_semi").alias("x").join(met.alias("y"), (F.col("x.band") == F.col("y.band")) & fits)
+    at = (F.col("x.item") == F.col("y.item")) & (F.col("x.size") == F.col("y.n"))
+    by_item = spots.join(through, "key", "left_anti").alias("x").join(held.alias("y"), at & fits)
+    return by_band.select(*_pair()).union(by_item.select(*_pair())).distinct()
 
 
 def judged(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +330,7 @@ def judged(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 24, r
         prefix = rare.withColumn("place", place).join(crowd, "key").filter((F.col("place") <= length) & (F.col("c") > 1))
         prefix = scratch.put(prefix.select("key", "item", "n", "s0", "s1", "label"), "prefixes")
         sharing = prefix.alias("x").join(prefix.alias("y"), (F.col("x.item") == F.col("y.item")) & (F.col("x.key") < F.col("y.key")) & close).select(*_pair())
-        advance(sharing.union(_fallback(crowd, own, sets, close, percent, scratch)).distinct(), "2")
+        advance(sharing.union(_fallback(crowd, own, rare, items, sets, close, percent, scratch)).distinct(), "2")
 
     scratch.keep("signatures", "representatives", latest)
     found = reps.select("key", "digest", "none", "id").join(state.select("key", "label"), "key")
