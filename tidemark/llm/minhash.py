@@ -249,10 +249,11 @@ def _fallback(members: DataFrame, own: DataFrame, rare: DataFrame, items: DataFr
 
     # A seeker's common items, those of fewest owners first: if the first one that it shares stands at a place, it shares `rest` at
     # most, which is enough for partners of `low` to `high` items.
-    seekers = off.groupBy("key", "n", "s0", "s1", "label", "c").agg(F.sum("size").alias("cost"), F.min("least").alias("least"))
-    held = items.join(common.select("key", "n", "s0", "s1", "label", "c"), "key")
+    seekers = scratch.put(off.groupBy("key", "n", "s0", "s1", "label", "c").agg(F.sum("size").alias("cost"), F.min("least").alias("least")), "seekers")
+    held = scratch.put(items.join(common, "key"), "held")
     owners = scratch.put(held.groupBy("item", F.col("n").alias("size")).agg(F.count("*").alias("m")), "owners")
-    listed = items.join(seekers, "key").join(rare.select("key", "item"), ["key", "item"], "left_anti").join(owners.groupBy("item").agg(F.sum("m").alias("owned")), "item")
+    scarce = rare.join(seekers.select("key"), "key", "left_semi").select("key", "item")
+    listed = held.select("key", "item").join(seekers, "key").join(scarce, ["key", "item"], "left_anti").join(owners.groupBy("item").agg(F.sum("m").alias("owned")), "item")
     listed = listed.withColumn("rest", F.col("c") - F.row_number().over(Window.partitionBy("key").orderBy("owned", "item")) + 1)
     listed = listed.withColumn("low", F.greatest("least", F.ceil(F.col("n") * percent / 100))).filter(reach(F.col("rest"), F.col("n"), F.col("low")))
     listed = scratch.put(listed.withColumn("high", F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")).drop("least"), "listed")
